@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, simhash
 
-_MODULES = {"op1_exact_dedup": exact_dedup}
+_MODULES = {"op1_exact_dedup": exact_dedup, "op2_simhash": simhash, "op8_bpe": bpe}
 
 
 def queries() -> dict:
