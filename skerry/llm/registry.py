@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, simhash, topk
+from . import bpe, chat, exact_dedup, html_extract, mixing, secrets, simhash, topk
 
-_MODULES = {"op1_exact_dedup": exact_dedup, "op2_simhash": simhash, "op4_mixing": mixing, "op5_chat": chat, "op8_bpe": bpe, "op10_topk": topk}
+_MODULES = {"op1_exact_dedup": exact_dedup, "op2_simhash": simhash, "op4_mixing": mixing, "op5_chat": chat, "op7_html": html_extract, "op8_bpe": bpe, "op9_secrets": secrets, "op10_topk": topk}
 
 
 def queries() -> dict:
