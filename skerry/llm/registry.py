@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_extract, mixing, secrets, simhash, topk
+from . import bpe, chat, exact_dedup, html_extract, mixing, secrets, simhash, suffix_dedup, topk, toxicity
 
-_MODULES = {"op1_exact_dedup": exact_dedup, "op2_simhash": simhash, "op4_mixing": mixing, "op5_chat": chat, "op7_html": html_extract, "op8_bpe": bpe, "op9_secrets": secrets, "op10_topk": topk}
+_MODULES = {
+    "op1_exact_dedup": exact_dedup,
+    "op2_simhash": simhash,
+    "op3_suffix_dedup": suffix_dedup,
+    "op4_mixing": mixing,
+    "op5_chat": chat,
+    "op6_toxicity": toxicity,
+    "op7_html": html_extract,
+    "op8_bpe": bpe,
+    "op9_secrets": secrets,
+    "op10_topk": topk,
+}
 
 
 def queries() -> dict:
