@@ -294,8 +294,23 @@ def _count(contexts: DataFrame, length: int) -> DataFrame:
     strings = table(strings.withColumn("pos", F.struct("at", "i")).drop("at"))
     seen = table(strings.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).filter("n > 1"))
     hits = strings.join(seen, ["x", "y"]).select("h", "c1", "c2", "i", (F.col("pos") != F.col("first")).alias("later"))
-    one = lambda flag: F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
-    return hits.groupBy("h", "c1", "c2").agg(F.collect_list(F.when(F.col("later"), one("i"))).alias("earlier"), F.collect_list(one("i")).alias("any"))
+    points = hits.groupBy("h", "c1", "c2").agg(F.sort_array(F.collect_list(F.when(F.col("later"), F.col("i")))).alias("earlier"), F.sort_array(F.collect_list("i")).alias("any"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [pa.array([[{"a": x, "b": y} for x, y in _merged(p)] for p in b.column(k).to_pylist()], _ARROW_PARTS) for k in (3, 4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], b.schema.names)
+
+    return points.mapInArrow(joined, f"h long, c1 long, c2 long, earlier {_PARTS}, any {_PARTS}")
+
+
+def _merged(points: list[int]) -> list[tuple[int, int]]:
+    """Neighbouring starts as intervals."""
+    if not points:
+        return []
+    at = np.array(points)
+    cut = np.flatnonzero(np.diff(at) > 1) + 1
+    return list(zip(at[np.append(0, cut)].tolist(), (at[np.append(cut, len(at)) - 1] + 1).tolist(), strict=True))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "first", group: int = GROUP) -> DataFrame:
