@@ -64,8 +64,9 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     parts = [w for w, rank in zip(words, known, strict=True) if rank is None]
     text = np.frombuffer(b"".join(parts), dtype=np.uint8)
     end = len(text)
-    ends = np.cumsum([len(w) for w in parts], dtype=np.int64)
-    starts = ends - [len(w) for w in parts]
+    sizes = np.array([len(w) for w in parts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
     # Position ``end`` stands for what is outside a word; its id -1 makes keys that no pair has.
     ids = [*vocabulary.byte[text].tolist(), -1]
     before, after = np.arange(-1, end), np.arange(1, end + 2)

@@ -5,11 +5,12 @@ footers, sidebars, forms, scripts, styles, hidden parts, or in an element whose
 notice, an advert or comments, is left out. If the page marks its article (``article`` or ``main``) and text stands there,
 only that is considered.
 
-First pass: a block with many link characters is bad; a block shorter than ``SHORT`` is ambiguous; a long
+First pass: a block of mostly link characters (in a marked article, of hardly anything else) is bad; a block shorter than ``SHORT`` is ambiguous; a long
 block is good if enough of its words are stop words of some language, or if the page marks it as article; one with
 fewer stop words is ambiguous if it is in between, and bad below. Second pass: an ambiguous block takes the
-label that its nearest decided neighbours on both sides agree on; if they don't, or if there is only one, the
-nearer decides, good before bad on a tie; with none at all it is good only inside a marked article.
+label that its nearest decided neighbours on both sides agree on, or that of the only one. If they differ, it is
+good inside a marked article, and elsewhere the nearer decides, good on a tie. With none at all it is good only
+inside a marked article.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by a line feed in page order.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ._shared import read, whole
 
 #: Characters below which a block is ambiguous; shares of stop words and of link characters.
-SHORT, STOP_HIGH, STOP_LOW, LINKS = 70, 0.30, 0.15, 0.5
+SHORT, STOP_HIGH, STOP_LOW, LINKS, ALL_LINKS = 70, 0.30, 0.15, 0.5, 0.9
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """the of and to in a is that it for was on are as with be by at this have from or had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than been its who now
@@ -157,7 +158,7 @@ class _Page:
 
 def _first_pass(text: str, links: int, article: bool) -> bool | None:
     """True: good, False: bad, None: ambiguous."""
-    if links > LINKS * len(text.replace(" ", "")):
+    if links > (ALL_LINKS if article else LINKS) * len(text.replace(" ", "")):
         return False
     if len(text) < SHORT:
         return None
@@ -184,7 +185,8 @@ def classify(blocks: list[tuple[str, int, bool]]) -> list[bool]:
     for i, label in enumerate(first):
         if label is None:
             near = [(abs(j - i), not good) for j, good in filter(None, (before[i], after[i]))]
-            label = not min(near)[1] if near else blocks[i][2]
+            differ = len({bad for _, bad in near}) == 2
+            label = blocks[i][2] if not near or differ and blocks[i][2] else not min(near)[1]
         out.append(label)
     return out
 

@@ -41,7 +41,8 @@ THRESHOLD, SPAN_AT, CHAIN = 0.3, 0.5, 64
 LEAST_DOCS, LEAST_SHARE, LIFT = 5, 0.01, 4.0
 #: Beginnings of words that are features; features need so many documents.
 BEGINNINGS, FEATURE_DOCS = (3, 4, 5, 6, 7, 8), 3
-EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.05, 1e-5
+#: Passes over the sample, and steps at least.
+EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 256, 0.05, 1e-5
 #: Tokens of a task whose unary scores are kept.
 KEPT = 500_000
 LETTERS = re.compile(r"[\W\d_]+")
@@ -189,7 +190,8 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Field:
     weight, bias, transition = np.zeros(none + 1), np.array([field.bias]), np.zeros((2, 2))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("w", weight), ("b", bias), ("t", transition))}
     step = 0
-    for _ in range(EPOCHS):
+    batches = max(1, -(-len(chains) // BATCH))
+    for _ in range(max(EPOCHS, -(-STEPS // batches))):
         order = r.permutation(len(chains))
         for at in range(0, len(order), BATCH):
             rows, step = order[at : at + BATCH], step + 1
