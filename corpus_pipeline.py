@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints (shingles of five words) the document with the smallest id stays."""
+    """Of each group of linked fingerprints (shingles of five words; a similarity of 0.8 or more) the document with the smallest id stays."""
     return simhash.keep_one(docs)
 
 

@@ -11,6 +11,14 @@ fingerprints are linked exactly and linearly instead: two of them differ in at m
 value differs from each of them in at most one bit, so each is dealt to its 65 values, and whoever meets at
 a value is verified and linked to the smallest there.
 
+Similarity (``similarity`` in ``near_dedup`` and ``keep_one``): at a Jaccard similarity of 0.8 fingerprints differ in about 9 of
+64 bits, more than the blocks find. So each pair of blocks is also probed with its ``PROBES`` least decided bits
+flipped in all ways, which are the bits that edits flip. Fingerprints that meet at a probe, as neighbours in
+its order or with its first, are verified by the ``SKETCH`` least shingle hashes of their texts: the estimate
+is exact for texts of no more shingles, and has a standard error of 0.05 at 0.8 for longer ones. These links
+are added to those of the distance. The probes are a heuristic: 73 % of the pairs of 0.8 or more were found
+on sf0.1 and 95 % on a table with large groups of near copies.
+
 Cases: null or empty texts have fingerprint zero and link like any other; texts with fewer words than a
 shingle use the whole sequence. Rows that repeat an id stay separate rows. A null id never becomes a
 component's id unless all ids in it are null. Extra columns are ignored here and kept by ``keep_one``.
@@ -36,24 +44,49 @@ SEED = 42
 CAP = 128
 BLOCKS = 4
 WIDTH = 64 // BLOCKS
+PROBES, SKETCH = 5, 64
+PAIRS = [(i, j) for i in range(BLOCKS) for j in range(i)]
+#: Bits that the texts of a probe's fingerprints may differ in at most, before they are verified.
+FARTHEST = 20
 #: The rows of bits that are summed at a time.
 _STEP = 1 << 14
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
     words = text.lower().split()  # of bytes: A-Z only, and white space is \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     k = min(shingle, len(words))
     joined = map(b" ".join, zip(*(words[i : len(words) - k + 1 + i] for i in range(k)), strict=True))
     n = len(words) - k + 1
-    hashes = np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), dtype=np.uint64, count=n)
+    return np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), dtype=np.uint64, count=n)
+
+
+def _margins(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, the highest first, in how many more hashes it is set than not."""
     counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, _STEP):
+    for i in range(0, len(hashes), _STEP):
         part = hashes[i : i + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
+    return 2 * counts - len(hashes)
+
+
+def _signed(margins: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(margins > 0).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    return _signed(_margins(_hashes(text, shingle)))
+
+
+def probed(text: bytes, shingle: int) -> tuple[int, bytes, bytes]:
+    """The fingerprint; for each pair of blocks the places of its least decided bits; the least hashes (their upper halves)."""
+    hashes = _hashes(text, shingle)
+    margins = _margins(hashes)
+    sure = np.abs(margins)[::-1]  # by bit, the lowest first
+    weak = [np.argsort(np.concatenate([sure[WIDTH * j : WIDTH * (j + 1)], sure[WIDTH * i : WIDTH * (i + 1)]]), kind="stable")[:PROBES] for i, j in PAIRS]
+    return _signed(margins), np.concatenate(weak).astype(np.uint8).tobytes(), (np.unique(hashes)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -68,6 +101,62 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """id, fp, weak, sketch for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, weak, sketch = zip(*(probed(t.as_buffer().to_pybytes(), shingle) for t in b.column(1)), strict=True) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(weak, pa.binary()), pa.array(sketch, pa.binary())], ["id", "fp", "weak", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, weak binary, sketch binary")
+
+
+def estimate(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two texts by their least hashes; two texts without words are equal."""
+    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
+    most = max(len(x), len(y))
+    union = np.union1d(x, y)[: SKETCH if most == SKETCH else None]
+    return 1.0 if not len(union) else float(np.isin(union, np.intersect1d(x, y)).mean())
+
+
+def _similar(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): fingerprints that meet at a probe and whose texts' similarity is estimated at ``similarity`` or more."""
+    flips = np.arange(1 << PROBES, dtype=np.uint64)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                fp = b.column(0).to_numpy().view(np.uint64)
+                weak = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(len(fp), len(PAIRS), PROBES).astype(np.uint64)
+                keys = []
+                for k, (i, j) in enumerate(PAIRS):
+                    part = lambda n: (fp >> np.uint64(WIDTH * n)) & np.uint64((1 << WIDTH) - 1)
+                    key = np.uint64(k << 32) | (part(i) << np.uint64(WIDTH)) | part(j)
+                    mask = np.zeros((len(fp), len(flips)), dtype=np.uint64)
+                    for m in range(PROBES):
+                        mask |= ((flips >> np.uint64(m)) & np.uint64(1))[None, :] << weak[:, k, m][:, None]
+                    keys.append(key[:, None] ^ mask)
+                all_keys = np.concatenate(keys, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(all_keys.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, all_keys.shape[1]).view(np.int64))], ["key", "fp"])
+
+    met = classes.select("fp", "weak").mapInArrow(probe, "key long, fp long")
+    order = Window.partitionBy("key").orderBy("fp")
+    near = met.select(F.col("fp").alias("b"), F.lag("fp").over(order).alias("lag"), F.first("fp").over(order).alias("first")).filter("lag is not null")
+    pairs = near.select("b", F.explode(F.array_distinct(F.array("lag", "first"))).alias("a")).filter(_distance(F.col("a"), F.col("b")) <= FARTHEST).distinct()
+    sketch = classes.select("fp", "sketch")
+    both = pairs.join(sketch.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fits = [estimate(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -75,8 +164,7 @@ def _distance(a: Column, b: Column) -> Column:
 def _keys() -> Column:
     """The 6 pairs of blocks: which pair, and its 32 bits."""
     part = [F.shiftrightunsigned(F.col("fp"), WIDTH * i).bitwiseAND((1 << WIDTH) - 1) for i in range(BLOCKS)]
-    pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
-    return F.array(*(F.lit(k << 32).cast("long") + F.shiftleft(part[i], WIDTH) + part[j] for k, (i, j) in enumerate(pairs)))
+    return F.array(*(F.lit(k << 32).cast("long") + F.shiftleft(part[i], WIDTH) + part[j] for k, (i, j) in enumerate(PAIRS)))
 
 
 def _links(classes: DataFrame, distance: int, cap: int) -> DataFrame:
@@ -94,13 +182,20 @@ def _links(classes: DataFrame, distance: int, cap: int) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, cap: int = CAP) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, cap: int = CAP, similarity: float | None = None) -> DataFrame:
     """One row for each row of docs: id_col, fingerprint (hex), component_id (smallest id reachable)."""
     if distance > 2:
         raise ValueError("the pairs of blocks find distances up to 2")
-    rows = table(fingerprints(docs, id_col, text_col, shingle))
-    classes = table(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = components(_links(classes, distance, cap), "a", "b")
+    if similarity is None:
+        rows = table(fingerprints(docs, id_col, text_col, shingle))
+        classes = table(rows.groupBy("fp").agg(F.min("id").alias("least")))
+        links = _links(classes, distance, cap)
+    else:
+        rows = table(_sketched(docs, id_col, text_col, shingle))
+        text = F.max(F.struct("weak", "sketch"))
+        classes = table(rows.groupBy("fp").agg(F.min("id").alias("least"), text.alias("of")).select("fp", "least", "of.weak", "of.sketch"))
+        links = _links(classes, distance, cap).unionByName(_similar(classes, similarity))
+    linked = components(links, "a", "b")
     placed = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     placed = table(placed)
     roots = table(placed.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -108,9 +203,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of_class, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """The documents with one of each group, the one with the smallest id, and all their columns."""
-    found = near_dedup(docs, id_col, text_col, shingle, distance)
+    found = near_dedup(docs, id_col, text_col, shingle, distance, similarity=similarity)
     kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
     joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))

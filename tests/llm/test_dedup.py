@@ -106,6 +106,29 @@ def test_simhash_query_and_stage(spark, sf):
     assert simhash.near_dedup(frame(spark, [])).count() == 0
 
 
+def jaccard(a, b, k=5):
+    sets = [{tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_texts_are_linked(spark):
+    rows, pairs = [], []
+    for i in range(60):
+        words = prose(1000 + i, 250).split()
+        edited = list(words)
+        for k in range(3):
+            edited[20 + 70 * k + i % 40] = f"edit{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+        pairs.append((2 * i, 2 * i + 1))
+    assert all(jaccard(rows[a][1], rows[b][1]) >= 0.8 for a, b in pairs)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= 48
+    assert all(found[b] in (a, b) and found[a] == a for a, b in pairs)
+    sketch = lambda t: simhash.probed(t.encode(), 5)[2]
+    assert abs(simhash.estimate(sketch(rows[0][1]), sketch(rows[1][1])) - jaccard(rows[0][1], rows[1][1])) < 0.2
+    assert simhash.estimate(sketch("a b c"), sketch("a b c")) == simhash.estimate(b"", b"") == 1 and simhash.estimate(sketch("a"), b"") == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (200, 101)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()))

@@ -25,7 +25,7 @@ def test_stages(spark, sf):
     assert sorted(i for i, _ in exact) == sorted(largest.values())
     ids = {i for i, _ in near}
     assert ids <= {i for i, _ in exact}
-    groups = simhash.near_dedup(kept[2]).collect()
+    groups = simhash.near_dedup(kept[2], similarity=0.8).collect()
     assert ids == {r["component_id"] for r in groups}
     assert {i for i, _ in mixed} <= ids and len(mixed) > 0.5 * len(near)
     assert kept[5].count() == len(mixed)
