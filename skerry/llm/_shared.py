@@ -51,6 +51,11 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def keyed(id_: Column, name: str = "_key") -> list[Column]:
+    """An id of any type as two columns that plain equality compares, null included: one partitioning then serves joins and windows."""
+    return [F.coalesce(id_.cast("string"), F.lit("")).alias(name), id_.isNull().alias(f"{name}_null")]
+
+
 #: The letters that normalisation folds.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

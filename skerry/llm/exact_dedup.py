@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import fold_ascii, let, read, table
+from ._shared import fold_ascii, keyed, let, read, table
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -100,11 +100,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; a row that repeats id and text stays once."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_key", F.sha2(fold_ascii(F.col(text_col)), 256))
-    joined = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_sha"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "_key").orderBy(F.lit(0)))
-    return joined.withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(*keyed(F.col(id_col)), F.col("text_sha256").alias("_sha"))
+    by = ["_key", "_key_null", "_sha"]
+    marked = docs.select("*", *keyed(F.col(id_col)), F.sha2(fold_ascii(F.col(text_col)), 256).alias("_sha"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    return marked.join(kept, by, "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from ._shared import read, table, whole
+from ._shared import keyed, read, table, whole
 from .components import components
 
 SEED = 42
@@ -206,9 +206,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """The documents with one of each group, the one with the smallest id, and all their columns."""
     found = near_dedup(docs, id_col, text_col, shingle, distance, similarity=similarity)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))
+    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(*keyed(F.col(id_col))).distinct()
+    first = F.row_number().over(Window.partitionBy("_key", "_key_null").orderBy(F.xxhash64(F.col(text_col))))
+    joined = docs.select("*", *keyed(F.col(id_col))).join(kept, ["_key", "_key_null"], "left_semi")
     return joined.withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
 
 
