@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from html import unescape as html_unescape
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
@@ -90,6 +93,48 @@ def decode_with_fallback(bodies: pd.Series) -> pd.Series:
     return bodies.map(one)
 
 
+_TAG = re.compile(r"<[^>]*>")
+
+
+def _unprefixed(tag: re.Match) -> str:
+    """A tag without prefixes and their declarations, which stand outside the payload."""
+    bare = re.sub(r'\sxmlns(?::[^=\s]*)?\s*=\s*"[^"]*"', "", tag[0])
+    return re.sub(r"(^</?|\s)[A-Za-z_][\w.-]*:(?=[\w.-]+(?:\s*=|[\s/>]))", r"\1", bare)
+
+
+def _as_value(node: ElementTree.Element):
+    """A leaf is its text; else a map of children (lists for repeated ones), attributes (-name) and text (#text)."""
+    local = lambda tag: tag.rpartition("}")[2]
+    value: dict = {f"-{local(k)}": v for k, v in node.attrib.items()}
+    for child in node:
+        name, inner = local(child.tag), _as_value(child)
+        if name in value:
+            value[name] = [*(value[name] if isinstance(value[name], list) else [value[name]]), inner]
+        else:
+            value[name] = inner
+    text = node.text or ""
+    if not value:
+        return text
+    return value | ({"#text": text} if text.strip() else {})
+
+
+@F.pandas_udf(StringType())
+def xml_to_json(bodies: pd.Series) -> pd.Series:
+    """Any XML as a JSON map by element names; {} for nothing, null for what can't be parsed. For payloads without a schema."""
+
+    def one(xml: str | None) -> str | None:
+        if not xml or not xml.strip():
+            return "{}"
+        try:
+            root = ElementTree.fromstring(f"<_>{_TAG.sub(_unprefixed, xml)}</_>")
+        except ElementTree.ParseError:
+            return None
+        value = _as_value(root)
+        return json.dumps(value if isinstance(value, dict) else {"#text": value}, ensure_ascii=False)
+
+    return bodies.map(one)
+
+
 def first_sentence(c: Column) -> Column:
     """Up to the first full stop, question or exclamation mark before a blank and a capital, or all of it."""
     found = F.regexp_extract(c, r"^(.*?[.!?])(?:\s+(?=[\p{Lu}\d\"'(])|\s*$)", 1)

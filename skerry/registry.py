@@ -204,6 +204,19 @@ def k6(spark, sf_dir):
     return lines.select(F.get_json_object("value", "$.oai").alias("a"), F.get_json_object("value", "$.datestamp").alias("b"), F.get_json_object("value", "$.sets[0]").alias("c"))
 
 
+@query("P7_metadata_json", f"WITH {_R} SELECT oai, title, text AS description FROM r WHERE status IS NULL")
+def p7(spark, sf_dir):
+    lines = sink.json_lines(decoded(spark, sf_dir).filter("metadata_xml is not null"))
+    at = lambda path: F.get_json_object("value", path)
+    return lines.select(at("$.header.identifier").alias("oai"), at("$.metadata.dc.title").alias("title"), at("$.metadata.dc.description").alias("description"))
+
+
+@query("K10_markdown", "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region")
+def k10(spark, sf_dir):
+    lines = sink.markdown(t(spark, sf_dir, "region").select("r_regionkey", "r_name")).split("\n")[2:]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
 @query("K9_csv_export", "SELECT p_partkey, p_name, p_retailprice FROM part")
 def k9(spark, sf_dir):
     path = config.workspace(spark)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import without_control
+from ..functions.text import without_control, xml_to_json
 
 ROOT_ATTRIBUTES = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
 #: Bytes that a file takes on disk at least.
@@ -59,9 +59,7 @@ def as_pages(records: DataFrame, per_page: int = 100) -> DataFrame:
 
 def write_pages(pages: DataFrame, directory: str, date: str) -> None:
     """Each page as <date>-<serial>.xml.gz under ``directory``, named when complete: written aside, then renamed."""
-    from pyspark.sql import SparkSession as S
-
-    spark = S.active()
+    spark = SparkSession.active()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     aside = f"{directory}/_tmp"
     pages.select("xml").write.mode("overwrite").option("compression", "gzip").text(aside)
@@ -78,6 +76,24 @@ def record_lines(records: DataFrame, xml: str = "xml") -> DataFrame:
     return records.select(F.regexp_replace(xml, r"\s*\n\s*", " ").alias("value"))
 
 
+def json_lines(records: DataFrame) -> DataFrame:
+    """One JSON object a record: header, metadata as a map by element names, about; what is missing is left out."""
+    header = F.struct(F.col("header._status").alias("status"), "header.identifier", "header.datestamp", "header.setSpec")
+    return records.select(F.to_json(F.struct(header.alias("header"), F.parse_json(xml_to_json(F.col("metadata_xml"))).alias("metadata"), "about")).alias("value"))
+
+
+def markdown(rows: DataFrame, most: int = 100) -> str:
+    """A small table as Markdown, for the edge of the system: ``most`` rows."""
+    cells = [rows.columns, ["---"] * len(rows.columns), *([str(v) for v in r] for r in rows.limit(most).collect())]
+    return "\n".join("| " + " | ".join(c) + " |" for c in cells)
+
+
+def purge(spark: SparkSession, directory: str) -> bool:
+    """Remove a harvest's pages."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_root(lines: list[str], root: str) -> str:
     """A small stream with its root element, for the edge of the system."""
     if not root:

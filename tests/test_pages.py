@@ -98,3 +98,16 @@ def test_ingest(spark):
     ]
     got = [(r["base_url"], r["ext_ids"]["doi"], r["link_source_id"], r["release_stage"]) for r in records.ingest_requests(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(got, key=str) == sorted([("http://a.org/", "10.1/a", "oai:x:1", "published"), ("http://b.org/q?x=1", None, "oai:x:5", None)], key=str)
+
+
+def test_json_and_purge(spark, root, tmp_path):
+    import json
+
+    lines = [json.loads(r[0]) for r in sink.json_lines(pages.read_pages(spark, root)).collect()]
+    assert {x["header"]["identifier"] for x in lines} == {"id1", "id2"}
+    assert {json.dumps(x["metadata"]) for x in lines} == {'{"title":"Test Title 1"}'.replace(":", ": "), '{"dc": {"title": "Test Title 2"}}'}
+    from skerry.functions.text import xml_to_json
+
+    frame = spark.createDataFrame([("",), (None,), ('<a:x b="1">t<y/><y>z</y></a:x>',), ("<open>",)], "x string")
+    assert [r[0] and json.loads(r[0]) for r in frame.select(xml_to_json("x")).collect()] == [{}, {}, {"x": {"-b": "1", "y": ["", "z"], "#text": "t"}}, None]
+    assert sink.purge(spark, root) and not tmp_path.exists()
