@@ -12,8 +12,8 @@
   that function, and the mix is range-sorted by that time.
 
 A hot source is no hot task: words are summed by source and slice of the order (combined on the map side), the sums are
-accumulated over slices, and only the rows of one slice are accumulated together; the number of slices grows
-with the rows.
+accumulated over slices, and only the rows of one slice are accumulated together. A slice is the documents whose hash has the same
+first digits; the number of digits grows with the rows.
 
 Cases: null text has size 0 and is never taken; a null source is a source, the last in order; sources
 of size 0 take nothing. Ties and repeated rows in the order are broken by the text's hash; rows equal in both take
@@ -30,10 +30,8 @@ from pyspark.sql.window import Window
 
 from ._shared import read, table, whole
 
-#: Rows of a slice, about.
+#: Rows of a slice of all sources together, at most about.
 SLICE = 4096
-#: The most slices of a source's order: four hexadecimal digits.
-DIGITS = 4
 
 
 @dataclass(frozen=True)
@@ -100,11 +98,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), order.alias("order"), F.xxhash64(whole(F.col(text_col))).alias("text_hash")
     )
     sized = table(sized)
-    slices = table(sized.groupBy("source", F.substring("order", 1, DIGITS).alias("slice")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")))
+    digits, rows = 1, sized.count()
+    while rows > SLICE * 16**digits:
+        digits += 1
+    slice_ = F.substring("order", 1, digits).alias("slice")
+    slices = table(sized.groupBy("source", slice_).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")))
     of = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("n_docs")), curriculum, budget, most)
     before = slices.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("slice")) - F.col("words")).drop("words", "docs")
     before = table(before.join(of, before["source"].eqNullSafe(of["source"])).select(before["source"], "slice", "before", "source_size", "at", "target"))
-    keyed = sized.withColumn("slice", F.substring("order", 1, DIGITS))
+    keyed = sized.withColumn("slice", slice_)
     placed = keyed.join(before, keyed["source"].eqNullSafe(before["source"]) & (keyed["slice"] == before["slice"])).select(
         "id", "size", "text_hash", "order", keyed["source"], keyed["slice"], "before", "source_size", "at", "target"
     )
