@@ -8,7 +8,8 @@
   are learned with the features' weights by gradient steps on the exact likelihood (forward-backward).
 * Scores. Forward-backward gives each token's marginal. A document's marginals are summed up in a few
   figures (their sum, largest, share, and how many are likely), and a logistic regression on the sample's
-  other part turns these into the score. Tokens with a marginal of ``SPAN_AT`` or more, joined where they
+  other part turns these into the score, corrected for the labels' true shares. Copies and near copies (the same
+  first ``ALIKE`` characters and label) count once in the sample, so no copied text makes its words evidence. Tokens with a marginal of ``SPAN_AT`` or more, joined where they
   are adjacent, are the offending offsets (code points, ends exclusive).
 
 Whole texts are scored, in chains of ``CHAIN`` tokens. Nothing but the text is an input of a score.
@@ -38,13 +39,14 @@ SAMPLE, TRAIN_CHARS, SEED = 2500, 8000, 11
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD, SPAN_AT, CHAIN = 0.3, 0.5, 64
 #: Evidence: in so many and this share of the toxic documents at least, and so many times as often as in others.
-LEAST_DOCS, LEAST_SHARE, LIFT = 5, 0.01, 4.0
+LEAST_DOCS, LEAST_SHARE, LIFT = 5, 0.02, 4.0
 #: Beginnings of words that are features; features need so many documents.
-BEGINNINGS, FEATURE_DOCS = (3, 4, 5, 6, 7, 8), 3
+BEGINNINGS, FEATURE_DOCS = (3, 4, 5, 6, 7, 8), 5
 #: Passes over the sample, and steps at least.
-EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 256, 0.05, 1e-5
+EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 256, 0.05, 1e-3
 #: Tokens of a task whose unary scores are kept.
 KEPT = 500_000
+ALIKE = 40
 LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -155,10 +157,16 @@ def _evidence(texts: list[str], labels: np.ndarray) -> tuple[dict[str, int], set
     return {f: i for i, f in enumerate(kept)}, evidence
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED) -> Field:
-    field, y = Field(), np.array(labels, dtype=np.int64)
+def train(texts: list[str], labels: list[int], share: float | None = None, seed: int = SEED) -> Field:
+    """share: of label 1 among all labelled documents; None if the sample shows it."""
+    field = Field()
+    if share is None:
+        share = sum(labels) / max(1, len(labels))
+    once = {(t[:ALIKE].lower(), label): (t, label) for t, label in zip(texts, labels, strict=True)}
+    texts, labels = [t for t, _ in once.values()], [label for _, label in once.values()]
+    y = np.array(labels, dtype=np.int64)
     if len(y) == 0 or min((y == 0).sum(), (y == 1).sum()) < 2:
-        field.prior = float(y.mean()) if len(y) else 0.0
+        field.prior = float(share) if len(y) else 0.0
         return field
     r = np.random.default_rng(seed)
     for_field = np.zeros(len(y), dtype=bool)
@@ -217,6 +225,9 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Field:
     rest = [t for t, a in zip(texts, for_field, strict=True) if not a]
     figures = np.concatenate([field.summary(rest[i : i + 200])[0] for i in range(0, len(rest), 200)]) if rest else np.zeros((0, 4))
     _fit_document(field, figures, y[~for_field])
+    seen = y[~for_field].mean() if len(rest) else share
+    if field.prior is None and 0 < share < 1:
+        field.document[4] += np.log(share / (1 - share)) - np.log(seen / (1 - seen))
     return field
 
 
@@ -234,17 +245,18 @@ def _fit_document(field: Field, figures: np.ndarray, y: np.ndarray) -> None:
     field.document = w
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], list[int]]:
-    """Labelled texts outside the held-out fold: at most ``most`` of each label, the first by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], list[int], float]:
+    """Labelled texts outside the held-out fold, at most ``most`` of each label, the first by a hash of the id; and the share of label 1 in all."""
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     there = usable.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").withColumn("mark", F.xxhash64("id"))
     chosen = [row for label in (0, 1) for row in there.filter(F.col("label") == label).orderBy("mark", "id").limit(most).collect()]
     if not chosen:
-        return [], []
+        return [], [], 0.0
+    share = usable.agg(F.avg("label")).first()[0]
     picked = F.broadcast(docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in chosen], usable.schema))  # 2 * most rows
     rows = docs.select(F.col(id_col).alias("id"), F.substring(whole(F.col(text_col)), 1, TRAIN_CHARS).alias("t")).join(picked, "id").select("id", "t", "label").collect()
     rows.sort(key=lambda r: (r["id"], r["t"]))
-    return [r["t"] for r in rows], [r["label"] for r in rows]
+    return [r["t"] for r in rows], [r["label"] for r in rows], share
 
 
 def _spans(text: str, likely: np.ndarray) -> str:
