@@ -288,12 +288,12 @@ def test_toxicity_held_out():
     hit = field.scores(field.summary([x[2] for x in rest])[0]) >= toxicity.THRESHOLD
     y = np.array([x[1] for x in rest]) == 1
     assert hit[y].mean() > 0.9 and hit[~y].mean() < 0.02
-    # A sample of equal classes is calibrated to the true share once it is told.
-    toxic = [x for x in learn if x[1] == 1]
-    even = toxic + [x for x in learn if x[1] == 0][: len(toxic)]
-    field = toxicity.train([x[2][: toxicity.TRAIN_CHARS] for x in even], [x[1] for x in even], share=len(toxic) / len(learn))
-    scores = field.scores(field.summary([x[2] for x in rest])[0])
-    assert abs(scores.mean() - y.mean()) < 0.05 and scores[y].mean() > 0.5 > 0.1 > scores[~y].mean()
+    # The true share moves all scores by the difference of the log odds.
+    part = [x for x in learn if x[1] == 1][:60] + [x for x in learn if x[1] == 0][:60]
+    few, half = (toxicity.train([x[2][:2000] for x in part], [x[1] for x in part], share=share) for share in (0.1, 0.5))
+    figures = few.summary([x[2] for x in rest[:50]])[0]
+    logit = lambda p: np.log(p / (1 - p))
+    assert logit(half.scores(figures)) - logit(few.scores(figures)) == pytest.approx(np.log(9), rel=1e-6)
 
 
 # Search.
