@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ._shared import read, whole
 
 #: Words kept with their ids by a task.
-KEPT = 600_000
+KEPT = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -152,7 +152,7 @@ class Digester(Encoder):
         return ids.count(b" ") + 1, sha256(ids).hexdigest(), sha256(b"".join(decoded)).hexdigest()
 
 
-def _blocks(column: pa.Array, most: int = 8 << 20) -> Iterator[list[str]]:
+def _blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in blocks of about ``most`` characters, a longer text alone."""
     block, size = [], 0
     for text in column.to_pylist():

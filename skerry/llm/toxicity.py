@@ -45,7 +45,7 @@ BEGINNINGS, FEATURE_DOCS = (3, 4, 5, 6, 7, 8), 5
 #: Passes over the sample, and steps at least.
 EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 256, 0.05, 1e-3
 #: Tokens of a task whose unary scores are kept.
-KEPT = 500_000
+KEPT = 200_000
 ALIKE = 40
 LETTERS = re.compile(r"[\W\d_]+")
 
@@ -283,7 +283,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             scores, spans, at = [], [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 4 << 20):
+                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
                     size += len(texts[end])
                     end += 1
                 figures, likely, _ = field.summary(texts[at:end])
@@ -310,7 +310,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             texts, keep, at = b.column(b.num_columns - 1).to_pylist(), [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 4 << 20):
+                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
                     size += len(texts[end])
                     end += 1
                 keep += (field.scores(field.summary(texts[at:end])[0]) < THRESHOLD).tolist()
