@@ -42,7 +42,7 @@ def info(records: DataFrame, dates_and_sources: bool = False) -> DataFrame:
         return F.when(F.size(values) > 0, values)
 
     mined = classify(element("identifier"), element("source"), element("doi"))
-    found = records.withColumn("_mined", mined)
+    found = records.select("*", F.explode_outer(F.array(mined)).alias("_mined"))  # computed once a record, whatever uses it
     columns = [some(distinct_text(element(e))).alias(c) for e, c in COLUMNS.items()]
     if dates_and_sources:
         columns += [some(distinct_text(element("date"))).alias("dates"), some(distinct_text(element("source"))).alias("sources")]
@@ -117,7 +117,8 @@ def ingest_requests(infos: DataFrame, source: str = "bulk") -> DataFrame:
     """A request for each URL of a record that passes: base_url, edit_extra, ext_ids, … (fields in order of their names)."""
     fits = F.col("oai").startswith("oai:") & (F.size("urls") > 0) & ~blocked_id(F.col("oai")) & may_be_pdf(F.col("formats"))
     doi = F.trim(F.lower(F.get("doi", F.lit(0))))
-    exploded = infos.filter(fits).withColumn("url", F.explode("urls")).filter(~blocked_url(F.col("url")))
+    wanted = F.when(fits, F.filter("urls", lambda u: ~blocked_url(u)))  # not a filter below the generator, which would repeat what urls are made of
+    exploded = infos.select("oai", "doi", "types", F.explode_outer(wanted).alias("url")).filter("url is not null")
     return exploded.select(
         canonical(F.col("url")).alias("base_url"),
         F.struct(F.when(doi.startswith("10."), doi).alias("doi"), F.lower("oai").alias("oai")).alias("ext_ids"),

@@ -58,7 +58,8 @@ def decode(raw: DataFrame, xml: str = "xml") -> DataFrame:
     """raw with header, metadata (struct), metadata_xml, about and corrupt (what can't be parsed)."""
     options = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
     parsed = F.from_xml(F.regexp_replace(xml, _UNKNOWN, "&amp;"), RECORD, options)
-    found = raw.withColumn("_record", parsed)
+    # The generator keeps filters above it: pushed below, each would parse the record again.
+    found = raw.select("*", F.explode_outer(F.array(parsed)).alias("_record"))
     inner = F.regexp_extract(xml, r"(?s)<metadata[^>]*>(.*)</metadata>", 1)
     about = F.regexp_extract(xml, r"(?s)<about[^>]*>(.*)</about>", 1)
     return found.select(
