@@ -11,22 +11,25 @@ fingerprints are linked exactly and linearly instead: two of them differ in at m
 value differs from each of them in at most one bit, so each is dealt to its 65 values, and whoever meets at
 a value is verified and linked to the smallest there.
 
-Similarity (``similarity`` in ``near_dedup`` and ``keep_one``): at a Jaccard similarity of 0.8 fingerprints differ in about 9 of
-64 bits, more than the blocks find. So each pair of blocks is also probed with its ``PROBES`` least decided bits
-flipped in all ways, which are the bits that edits flip. Fingerprints that meet at a probe, as neighbours in
-its order or with its first, are verified by the ``SKETCH`` least shingle hashes of their texts: the estimate
-is exact for texts of no more shingles, and has a standard error of 0.05 at 0.8 for longer ones. These links
-are added to those of the distance. The probes are a heuristic: 73 % of the pairs of 0.8 or more were found
-on sf0.1 and 95 % on a table with large groups of near copies.
+Similarity (``similarity`` in ``near_dedup`` and ``keep_one``): texts whose sets of shingles have that Jaccard similarity or
+more are linked too. Texts with equal sets are one class. The shingles are ordered by how often a bounded
+sample of the documents has them, then by hash; the order decides the cost only. Two sets of n shingles at most that
+are similar enough share one of the first n - ceil(similarity * n) + 1 in that order, so classes that meet at such
+a shingle are the candidates and none is missed. At each shingle the neighbours in order of size, and each with
+the first, are verified before all others; what these links connect isn't compared again, so a large group of near
+copies costs what its rows cost. All other pairs at a shingle are compared unless their sizes and the shingle's
+places rule them out. A pair is verified by the Jaccard similarity of the whole sets (of 64-bit hashes).
 
 Cases: null or empty texts have fingerprint zero and link like any other; texts with fewer words than a
 shingle use the whole sequence. Rows that repeat an id stay separate rows. A null id never becomes a
-component's id unless all ids in it are null. Extra columns are ignored here and kept by ``keep_one``.
+component's id unless all ids in it are null. Extra columns are ignored here and kept by ``keep_one``, which
+tells rows apart by id and text: rows that repeat both are one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -44,10 +47,12 @@ SEED = 42
 CAP = 128
 BLOCKS = 4
 WIDTH = 64 // BLOCKS
-PROBES, SKETCH = 5, 64
+SKETCH = 64
 PAIRS = [(i, j) for i in range(BLOCKS) for j in range(i)]
-#: Bits that the texts of a probe's fingerprints may differ in at most, before they are verified.
-FARTHEST = 20
+#: About so many documents show which shingles are frequent: those in so many of them, the first so many by count.
+SAMPLED, OFTEN, MOST = 5000, 3, 50_000
+#: Rounding of products with the similarity.
+_TINY = 1e-6
 #: The rows of bits that are summed at a time.
 _STEP = 1 << 14
 
@@ -80,13 +85,26 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return _signed(_margins(_hashes(text, shingle)))
 
 
-def probed(text: bytes, shingle: int) -> tuple[int, bytes, bytes]:
-    """The fingerprint; for each pair of blocks the places of its least decided bits; the least hashes (their upper halves)."""
+def probed(text: bytes, shingle: int) -> tuple[int, int, bytes]:
+    """The fingerprint, the class and the least hashes (their upper halves), for ``estimate``."""
     hashes = _hashes(text, shingle)
-    margins = _margins(hashes)
-    sure = np.abs(margins)[::-1]  # by bit, the lowest first
-    weak = [np.argsort(np.concatenate([sure[WIDTH * j : WIDTH * (j + 1)], sure[WIDTH * i : WIDTH * (i + 1)]]), kind="stable")[:PROBES] for i, j in PAIRS]
-    return _signed(margins), np.concatenate(weak).astype(np.uint8).tobytes(), (np.unique(hashes)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+    found = np.unique(hashes)
+    return _signed(_margins(hashes)), _class(found), (found[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def _class(found: np.ndarray) -> int:
+    """Stands for a set of shingles, as a signed 64-bit number."""
+    return int.from_bytes(blake2b(found.astype("<u8").tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+def _prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a sorted set, by count and then hash: similar sets share one of them."""
+    n = len(found)
+    count = np.zeros(n, dtype=np.int64)
+    if len(often) and n:
+        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+        count = np.where(often[at] == found, counts[at], 0)
+    return found[np.argsort(count, kind="stable")][: n - int(np.ceil(similarity * n - _TINY)) + 1]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -101,16 +119,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, fp, weak, sketch for each row."""
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with sha, of the text, and t, its bytes."""
+    text = whole(F.col(text_col))
+    return docs.withColumns({"sha": F.unhex(F.sha2(text.cast("binary"), 256)), "t": text.cast("binary")})
+
+
+def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many sampled documents have, sorted, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, weak, sketch = zip(*(probed(t.as_buffer().to_pybytes(), shingle) for t in b.column(1)), strict=True) if b.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(weak, pa.binary()), pa.array(sketch, pa.binary())], ["id", "fp", "weak", "sketch"])
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(t.as_buffer().to_pybytes(), shingle)).view(np.int64))], ["h"])
+
+    every = max(1, docs.count() // SAMPLED)
+    some = docs.select(whole(F.col(text_col)).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).distinct()
+    seen = some.select(F.col("t").cast("binary")).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    rows = seen.orderBy(F.desc("n"), "h").limit(MOST).collect()
+    often, counts = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    order = np.argsort(often)
+    return often[order], counts[order]
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """id, sha, fp, cls, n (shingles of the set), prefix for each row."""
+    often, counts = _frequent(docs, text_col, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                fps, cls, sizes, prefixes = [], [], [], []
+                for t in b.column(2):
+                    hashes = _hashes(t.as_buffer().to_pybytes(), shingle)
+                    found = np.unique(hashes)
+                    fps.append(_signed(_margins(hashes)))
+                    cls.append(_class(found))
+                    sizes.append(len(found))
+                    prefixes.append(_prefix(found, often, counts, similarity))
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), prefix], ["id", "sha", "fp", "cls", "n", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, weak binary, sketch binary")
+    texts = _texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text")
+    return texts.select("id", "sha", "t").mapInArrow(run, f"id {kind}, sha binary, fp long, cls long, n long, prefix array<long>")
 
 
 def estimate(a: bytes, b: bytes) -> float:
@@ -121,40 +175,56 @@ def estimate(a: bytes, b: bytes) -> float:
     return 1.0 if not len(union) else float(np.isin(union, np.intersect1d(x, y)).mean())
 
 
-def _similar(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): fingerprints that meet at a probe and whose texts' similarity is estimated at ``similarity`` or more."""
-    flips = np.arange(1 << PROBES, dtype=np.uint64)
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets have the similarity or more."""
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    shas = rows.select("cls", "sha").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.hex("sha")).alias("sha")).select(F.unhex("sha").alias("sha"))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                fp = b.column(0).to_numpy().view(np.uint64)
-                weak = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(len(fp), len(PAIRS), PROBES).astype(np.uint64)
-                keys = []
-                for k, (i, j) in enumerate(PAIRS):
-                    part = lambda n: (fp >> np.uint64(WIDTH * n)) & np.uint64((1 << WIDTH) - 1)
-                    key = np.uint64(k << 32) | (part(i) << np.uint64(WIDTH)) | part(j)
-                    mask = np.zeros((len(fp), len(flips)), dtype=np.uint64)
-                    for m in range(PROBES):
-                        mask |= ((flips >> np.uint64(m)) & np.uint64(1))[None, :] << weak[:, k, m][:, None]
-                    keys.append(key[:, None] ^ mask)
-                all_keys = np.concatenate(keys, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(all_keys.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, all_keys.shape[1]).view(np.int64))], ["key", "fp"])
-
-    met = classes.select("fp", "weak").mapInArrow(probe, "key long, fp long")
-    order = Window.partitionBy("key").orderBy("fp")
-    near = met.select(F.col("fp").alias("b"), F.lag("fp").over(order).alias("lag"), F.first("fp").over(order).alias("first")).filter("lag is not null")
-    pairs = near.select("b", F.explode(F.array_distinct(F.array("lag", "first"))).alias("a")).filter(_distance(F.col("a"), F.col("b")) <= FARTHEST).distinct()
-    sketch = classes.select("fp", "sketch")
-    both = pairs.join(sketch.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
+                found = [np.unique(_hashes(t.as_buffer().to_pybytes(), shingle)) for t in batch.column(0).slice(at, 1000)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], ["cls", "found"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fits = [estimate(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            fits = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                fits.append(both >= similarity * (len(x) + len(y) - both) - _TINY)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    texts = _texts(docs.select(F.col(text_col).alias("_text")), "_text").select("sha", "t").join(shas, "sha", "left_semi")
+    found = table(texts.dropDuplicates(["sha"]).select("t").mapInArrow(sets, "cls long, found binary"))
+    both = pairs.join(found.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a").join(found.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
+    return both.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long")
+
+
+def _fits(similarity: float, a: str, b: str) -> Column:
+    """Whether sets a and b can be similar if the shingle at these places (from 0) is the first that they share."""
+    rest = F.least(F.col(f"{a}n") - F.col(f"{a}at"), F.col(f"{b}n") - F.col(f"{b}at"))
+    return rest >= similarity / (1 + similarity) * (F.col(f"{a}n") + F.col(f"{b}n")) - _TINY
+
+
+def _joined(links: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """links (a, b) of classes, and links that connect all classes that are similar enough."""
+    order = Window.partitionBy("h").orderBy("n", "cls")
+    places = rows.select("cls", "n", F.posexplode("prefix").alias("at", "h"))
+    of = lambda f: f(F.struct("cls", "n", "at")).over(order)
+    marked = places.withColumns({"l": of(F.lag), "f": of(F.first), "more": F.lead("cls").over(order)})
+    shared = table(marked.filter("l is not null or more is not null").select("h", "cls", "n", "at", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lf" for c in ("cls", "n", "at"))))
+    near = [shared.filter((F.col(f"{x}cls") != F.col("cls")) & _fits(similarity, "", x)).select(F.least("cls", f"{x}cls").alias("a"), F.greatest("cls", f"{x}cls").alias("b")) for x in "lf"]
+    first = table(near[0].unionByName(near[1]).distinct())
+    links = table(links.unionByName(_verified(first, rows, docs, text_col, shingle, similarity)).distinct())
+    linked = table(components(links, "a", "b").distinct())
+    of_class = table(shared.select("h", "cls", "n", "at").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")).select("h", "cls", "n", "at", "root").distinct())
+    open_ = of_class.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h")
+    left = table(of_class.join(open_, "h", "left_semi"))
+    a, b = (left.select("h", *(F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "at", "root"))) for x in "ab")
+    rest = a.join(b, "h").filter((F.col("acls") < F.col("bcls")) & (F.col("aroot") != F.col("broot")) & _fits(similarity, "a", "b"))
+    pairs = table(rest.select(F.col("acls").alias("a"), F.col("bcls").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    return links.unionByName(_verified(pairs, rows, docs, text_col, shingle, similarity))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -186,21 +256,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of docs: id_col, fingerprint (hex), component_id (smallest id reachable)."""
     if distance > 2:
         raise ValueError("the pairs of blocks find distances up to 2")
-    if similarity is None:
-        rows = table(fingerprints(docs, id_col, text_col, shingle))
-        classes = table(rows.groupBy("fp").agg(F.min("id").alias("least")))
-        links = _links(classes, distance, cap)
-    else:
-        rows = table(_sketched(docs, id_col, text_col, shingle))
-        text = F.max(F.struct("weak", "sketch"))
-        classes = table(rows.groupBy("fp").agg(F.min("id").alias("least"), text.alias("of")).select("fp", "least", "of.weak", "of.sketch"))
-        links = _links(classes, distance, cap).unionByName(_similar(classes, similarity))
-    linked = components(links, "a", "b")
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    if similarity is not None:
+        rows = _similar(docs, id_col, text_col, shingle, distance, cap, similarity)
+        roots = table(rows.groupBy("root").agg(F.min("id").alias("component_id")))
+        return rows.join(roots, "root").select(F.col("id").alias(id_col), hexed, "component_id")
+    rows = table(fingerprints(docs, id_col, text_col, shingle))
+    classes = table(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    linked = components(_links(classes, distance, cap), "a", "b")
     placed = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     placed = table(placed)
     roots = table(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     of_class = table(placed.join(roots, "root").select("fp", "component_id"))
-    return rows.join(of_class, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(of_class, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, cap: int, similarity: float) -> DataFrame:
+    """id, sha, fp, root for each row; the root stands for the component."""
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity is above 0 and 1 at most")
+    rows = table(_classed(docs, id_col, text_col, shingle, similarity))
+    classes = table(rows.groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")))
+    fps = table(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    equal = classes.join(fps, "fp").select(F.col("least").alias("a"), F.col("cls").alias("b")).filter("a <> b")
+    of = lambda x: fps.select(F.col("fp").alias(x), F.col("least").alias(f"{x}cls"))
+    close = _links(fps, distance, cap).join(of("a"), "a").join(of("b"), "b").select(F.col("acls").alias("a"), F.col("bcls").alias("b"))
+    links = _joined(close.unionByName(equal), rows, docs, text_col, shingle, similarity)
+    linked = table(components(links, "a", "b").distinct())
+    return table(rows.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("id", "sha", "fp", F.coalesce("component", "cls").alias("root")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter
 
@@ -184,3 +185,39 @@ def test_pieces_of_long_documents(spark, monkeypatch):
     rows = [(1, prose(1, 900)), (2, prose(2, 300) + prose(1, 900)[2000:3000]), (3, "xyz" * 900)]
     got = suffix_dedup.remove_repeats(frame(spark, rows), keep="none").drop("spans").collect()
     assert Counter(map(tuple, got)) == expected_repeats(rows, 400, "none")
+
+
+def components_of(rows, k, similarity):
+    """Brute force: the smallest id of each row's component by distance and similarity."""
+    fps, sets = [fingerprint(t, k) for _, t in rows], [shingles(t, k) for _, t in rows]
+    least = {i: i for i, _ in rows}
+    while True:
+        before = dict(least)
+        for (x, (a, _)), (y, (b, _)) in itertools.combinations(enumerate(rows), 2):
+            both = len(sets[x] & sets[y])
+            if (fps[x] ^ fps[y]).bit_count() <= 2 or 5 * both >= similarity * 5 * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
+                least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            return least
+
+
+def shingles(t, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)} - {()}
+
+
+def test_all_similar_texts_are_linked(spark):
+    """Large groups of near copies with boilerplate between them, against brute force: no pair is missed."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(5000)}"
+    head, rows = [word() for _ in range(60)], [(1, None), (2, ""), (3, "a b")]
+    for size, length, most in ((120, 80, 8), (40, 300, 12), (40, 120, 6), *[(2, 150, 5)] * 40):
+        base = head + [word() for _ in range(length)]
+        for _ in range(size):
+            edited = list(base)
+            for at in r.sample(range(len(base)), r.randint(1, most)):
+                edited[at] = word()
+            rows.append((100 + len(rows), " ".join(edited)))
+    want = components_of(rows, 5, 0.8)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
+    assert got == want and 20 < len(set(want.values())) < len(rows) - 60
