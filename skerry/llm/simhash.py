@@ -271,28 +271,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of_class, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, cap: int, similarity: float) -> DataFrame:
-    """id, sha, fp, root for each row; the root stands for the component."""
-    if not 0 < similarity <= 1:
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, cap: int, similarity: float | None) -> DataFrame:
+    """id, sha, fp, root for each row; the root stands for the component. Without a similarity fingerprints are the classes."""
+    if similarity is not None and not 0 < similarity <= 1:
         raise ValueError("the similarity is above 0 and 1 at most")
-    rows = table(_classed(docs, id_col, text_col, shingle, similarity))
+    rows = _classed(docs, id_col, text_col, shingle, similarity or 1.0)
+    rows = table(rows if similarity else rows.withColumn("cls", F.col("fp")))
     classes = table(rows.groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")))
     fps = table(classes.groupBy("fp").agg(F.min("cls").alias("least")))
     equal = classes.join(fps, "fp").select(F.col("least").alias("a"), F.col("cls").alias("b")).filter("a <> b")
     of = lambda x: fps.select(F.col("fp").alias(x), F.col("least").alias(f"{x}cls"))
     close = _links(fps, distance, cap).join(of("a"), "a").join(of("b"), "b").select(F.col("acls").alias("a"), F.col("bcls").alias("b"))
-    links = _joined(close.unionByName(equal), rows, docs, text_col, shingle, similarity)
+    links = close.unionByName(equal)
+    if similarity is not None:
+        links = _joined(links, rows, docs, text_col, shingle, similarity)
     linked = table(components(links, "a", "b").distinct())
     return table(rows.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("id", "sha", "fp", F.coalesce("component", "cls").alias("root")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:
-    """The documents with one of each group, the one with the smallest id, and all their columns."""
-    found = near_dedup(docs, id_col, text_col, shingle, distance, similarity=similarity)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(*keyed(F.col(id_col))).distinct()
-    first = F.row_number().over(Window.partitionBy("_key", "_key_null").orderBy(F.xxhash64(F.col(text_col))))
-    joined = docs.select("*", *keyed(F.col(id_col))).join(kept, ["_key", "_key_null"], "left_semi")
-    return joined.withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+    """The documents with one of each group, the one with the smallest id (of its texts the one with the least hash), and all their columns."""
+    rows = _similar(docs, id_col, text_col, shingle, distance, CAP, similarity)
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("of"))
+    kept = table(least.select(*keyed(F.col("of.id")), F.col("of.sha").alias("_sha")))
+    by = ["_key", "_key_null", "_sha"]
+    marked = docs.select("*", *keyed(F.col(id_col)), F.unhex(F.sha2(whole(F.col(text_col)).cast("binary"), 256)).alias("_sha"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    return marked.join(kept, by, "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

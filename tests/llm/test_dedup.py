@@ -221,3 +221,12 @@ def test_all_similar_texts_are_linked(spark):
     want = components_of(rows, 5, 0.8)
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
     assert got == want and 20 < len(set(want.values())) < len(rows) - 60
+
+
+@pytest.mark.parametrize("similarity", [0.8, None])
+def test_one_of_each_group_stays(spark, similarity):
+    """Null ids and repeated ids: unrelated texts stay, whatever their ids."""
+    texts = [prose(i, 60) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (4, texts[3]), (6, texts[4]), (None, texts[4]), (7, texts[5]), (7, texts[5])]
+    kept = simhash.keep_one(frame(spark, rows), similarity=similarity).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, texts[0]), (None, texts[1]), (5, texts[2]), (4, texts[3]), (6, texts[4]), (7, texts[5])])
