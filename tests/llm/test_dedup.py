@@ -230,3 +230,16 @@ def test_one_of_each_group_stays(spark, similarity):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (4, texts[3]), (6, texts[4]), (None, texts[4]), (7, texts[5]), (7, texts[5])]
     kept = simhash.keep_one(frame(spark, rows), similarity=similarity).select("doc_id", "text").collect()
     assert Counter(map(tuple, kept)) == Counter([(None, texts[0]), (None, texts[1]), (5, texts[2]), (4, texts[3]), (6, texts[4]), (7, texts[5])])
+
+
+def test_the_threshold_is_exact(spark):
+    """Texts of 180 shingles: 160 of 200 shared is linked, 159 of 201 isn't."""
+    rows = []
+    for i in range(60):
+        words = [f"p{i}w{k}" for k in range(184)]
+        gone = 20 + i % 2
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-gone] + [f"p{i}v{k}" for k in range(gone)]))]
+    assert jaccard(rows[0][1], rows[1][1]) == 0.8 > jaccard(rows[2][1], rows[3][1])
+    far = all((fingerprint(rows[2 * i][1], 5) ^ fingerprint(rows[2 * i + 1][1], 5)).bit_count() > 2 for i in range(60))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
+    assert far and all(found[2 * i + 1] == 2 * i + i % 2 for i in range(60))
