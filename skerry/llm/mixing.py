@@ -8,16 +8,18 @@
   the demand covers are taken whole; the one where it ends is taken up to there. So a source's words add up
   to its target, rounded down, and no document is taken above ``most`` times.
 * When. A source's cumulative demand at training time t is its target times the part of its weight's
-  integral up to t. A document's copy gets the time at which the demand reaches its middle, the inverse of
-  that function, and the mix is range-sorted by that time.
+  integral up to t. Each copy of a document gets the time at which the demand reaches the middle of what its pass
+  takes of it, the inverse of that function, so a source that is taken twice is spread over all of training. The mix is
+  range-sorted by that time.
 
 A hot source is no hot task: words are summed by source and slice of the order (combined on the map side), the sums are
 accumulated over slices, and only the rows of one slice are accumulated together. A slice is the documents whose hash has the same
-first digits; the number of digits grows with the rows.
+first digits; the number of digits grows with the rows. Rows of equal positions, as those that aren't taken, are ranged by the order.
 
 Cases: null text has size 0 and is never taken; a null source is a source, the last in order; sources
-of size 0 take nothing. Ties and repeated rows in the order are broken by the text's hash; rows equal in both take
-whichever place. An empty table gives an empty mix. Extra columns are ignored by ``mix`` and kept by ``apply_mix``.
+of size 0 take nothing. A very long text is one document of many words. Ties and repeated rows in the order are broken by
+the text's hash; rows equal in both take whichever place. An empty table gives an empty mix. Extra columns are ignored by
+``mix`` and kept by ``apply_mix``; there, rows that repeat id, text and source are one, taken as often as all of them.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import read, table, whole
+from ._shared import keyed, read, table, whole
 
 #: Rows of a slice of all sources together, at most about.
 SLICE = 4096
@@ -92,7 +94,7 @@ def _time(part: Column, index: Column, curriculum) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum=CURRICULUM, budget: float = 1.5, most: int = 2) -> DataFrame:
-    """id_col, size, source_size, target, taken, position (of the first copy; null if not taken), text_hash; range-sorted by position."""
+    """id_col, source_col, size, source_size, target, taken, positions (of each copy; none if not taken), text_hash; range-sorted by the first position."""
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), order.alias("order"), F.xxhash64(whole(F.col(text_col))).alias("text_hash")
@@ -114,30 +116,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     end = F.col("before") + F.sum("size").over(within)
     placed = placed.withColumn("start", end - F.col("size"))
     demand = F.floor("target")
-    taken = F.lit(0).cast("long")
-    for turn in range(most):
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), demand - turn * F.col("source_size") - F.col("start")))
-    part = (F.col("start") + F.least(F.col("size"), F.col("taken")) / 2) / F.col("target")
-    placed = placed.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, _time(part, F.col("at"), curriculum)))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "position", "text_hash").repartitionByRange(F.col("position")).sortWithinPartitions("position", id_col)
+    parts = [F.greatest(F.lit(0), F.least(F.col("size"), demand - turn * F.col("source_size") - F.col("start"))) for turn in range(most)]
+    times = [
+        F.when(part > 0, _time((turn * F.col("source_size") + F.col("start") + part / 2) / F.col("target"), F.col("at"), curriculum)) for turn, part in enumerate(parts)
+    ]
+    placed = placed.withColumn("taken", sum(parts, F.lit(0)).cast("long")).withColumn("positions", F.filter(F.array(*times), lambda t: t.isNotNull()))
+    found = placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "positions", "text_hash", "order")
+    by = [F.get("positions", F.lit(0)), F.col("order")]
+    return found.repartitionByRange(*by).sortWithinPartitions(*by).drop("order")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum=CURRICULUM, budget: float = 1.5, most: int = 2) -> DataFrame:
-    """The documents of the mix with all their columns, range-sorted by position.
+    """The documents of the mix with all their columns, a row for each copy, range-sorted by position.
 
     Texts stay whole: a document whose words are taken in part stands as often as comes nearest to that part, once at least.
     """
-    found = mix(docs, id_col, text_col, source_col, curriculum, budget, most)
-    copies = found.filter("taken > 0").select(
-        F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"), F.col("position").alias("_position")
-    )
-    copies = copies.groupBy("_id", "_hash").agg(F.max("_copies").alias("_copies"), F.min("_position").alias("_position"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]) & (F.xxhash64(whole(docs[text_col])) == copies["_hash"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    found = table(mix(docs, id_col, text_col, source_col, curriculum, budget, most))
+    key = [*keyed(F.col(id_col), "_id"), *keyed(F.col(source_col), "_source")]
+    by = ["_id", "_id_null", "_source", "_source_null", "_hash"]
+    copies = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
+    placed = found.filter("taken > 0").select(*key, F.col("text_hash").alias("_hash"), F.explode(F.slice("positions", F.lit(1), copies)).alias("_position"))
+    marked = docs.select("*", *key, F.xxhash64(whole(F.col(text_col))).alias("_hash"))
+    if not found.groupBy(id_col, source_col, "text_hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        marked = marked.dropDuplicates(by)
+    place = ["_position", "_hash"]
+    return marked.join(placed, by).repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    position = [F.get("positions", F.lit(k)).alias(name) for k, name in enumerate(("position", "second_position"))]
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", *position)
 
 
 ORACLE_SQL = r"""
@@ -145,8 +153,8 @@ WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT source, source_size,
-             CAST([5, 2, 1][((row_number() OVER (ORDER BY (source IS NULL), source) - 1) % 3) + 1] AS DOUBLE) AS weight FROM s),
+n AS (SELECT source, source_size, ((row_number() OVER (ORDER BY (source IS NULL), source) - 1) % 3) + 1 AS i FROM s),
+w AS (SELECT source, source_size, CAST([5, 2, 1][i] AS DOUBLE) AS weight, CAST([6, 2, 0.5][i] AS DOUBLE) AS first, CAST([-2, 0, 1][i] AS DOUBLE) AS slope FROM n),
 rounds(k, share, capped) AS (
   SELECT 0, 1.5 * (SELECT sum(source_size) FROM w) / (SELECT sum(weight) FROM w), -1
   UNION ALL
@@ -156,12 +164,15 @@ rounds(k, share, capped) AS (
          (SELECT count(*) FROM w WHERE 2 * source_size <= weight * share)
   FROM rounds WHERE k < 60 AND share IS NOT NULL AND capped <> (SELECT count(*) FROM w WHERE 2 * source_size <= weight * share)),
 last AS (SELECT share FROM rounds WHERE share IS NOT NULL ORDER BY k DESC LIMIT 1),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, weight, first, slope,
              CASE WHEN 2 * source_size <= weight * share THEN CAST(2 * source_size AS DOUBLE) ELSE weight * share END AS target FROM w, last),
-p AS (SELECT doc_id, size, source_size, target, floor(target) AS demand,
+p AS (SELECT doc_id, size, source_size, target, weight, first, slope, floor(target) AS demand,
              sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, demand - start)) + greatest(0, least(size, demand - source_size - start)) AS BIGINT) AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, greatest(0, least(size, demand - start)) AS one, greatest(0, least(size, demand - source_size - start)) AS two FROM p),
+r AS (SELECT *, (start + one / 2) / target * weight AS reached, (source_size + start + two / 2) / target * weight AS again FROM q)
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
+       CASE WHEN one > 0 THEN greatest(0, least(1, 2 * reached / (first + sqrt(greatest(0, first * first + 2 * slope * reached))))) END AS position,
+       CASE WHEN two > 0 THEN greatest(0, least(1, 2 * again / (first + sqrt(greatest(0, first * first + 2 * slope * again))))) END AS second_position
+FROM r
 """

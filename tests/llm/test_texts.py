@@ -33,7 +33,7 @@ def test_mix_targets(spark):
         source[i].add(s)
     taken, sizes, target = Counter(), Counter(), {}
     for r in got:
-        assert 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is None) == (r["taken"] == 0)
+        assert 0 <= r["taken"] <= 2 * r["size"] and len(r["positions"]) == (r["taken"] > 0) + (r["taken"] > r["size"])
         key = (r["source_size"], r["target"])
         taken[key] += r["taken"]
         sizes[key] += r["size"]
@@ -47,9 +47,33 @@ def test_mix_targets(spark):
 
 def test_curriculum_moves_heavy_sources_first(spark):
     rows = [(i, "w w w w", s) for i, s in enumerate(["a", "b", "c"] * 300)]
-    got = mixing.mix(frame(spark, rows, "doc_id long, text string, source string")).filter("taken > 0").select("doc_id", "position").collect()
-    mean = [np.mean([r["position"] for r in got if r["doc_id"] % 3 == k]) for k in range(3)]
-    assert mean[0] < mean[1] < mean[2] and all(0 <= r["position"] <= 1 for r in got)
+    got = mixing.mix(frame(spark, rows, "doc_id long, text string, source string")).select("doc_id", F.explode("positions").alias("p")).collect()
+    mean = [np.mean([r["p"] for r in got if r["doc_id"] % 3 == k]) for k in range(3)]
+    assert mean[0] < mean[1] < mean[2] and all(0 <= r["p"] <= 1 for r in got)
+
+
+def test_second_copies_stand_in_the_second_pass(spark):
+    """A source that is taken twice spans all of training, and each tenth holds the share that its schedule gives it."""
+    rows = [(i, "w " * 10, "a") for i in range(1000)] + [(5000 + i, "w " * 10, "b") for i in range(9000)]
+    found = mixing.mix(frame(spark, rows, "doc_id long, text string, source string")).filter("doc_id < 5000").collect()
+    assert all(r["taken"] == 20 and len(r["positions"]) == 2 and r["positions"][0] < r["positions"][1] for r in found)
+    places = np.sort([p for r in found for p in r["positions"]])
+    assert places[0] < 0.002 and places[-1] > 0.998
+    reach = lambda t: (6 * t - t * t) / 5
+    for k in range(10):
+        share = ((places >= k / 10) & (places < (k + 1) / 10)).mean()
+        assert share == pytest.approx(reach((k + 1) / 10) - reach(k / 10), abs=0.002)
+    # Copies k of a document are a whole pass of the source apart.
+    assert all(reach(r["positions"][1]) - reach(r["positions"][0]) == pytest.approx(0.5, abs=1e-9) for r in found)
+
+
+def test_repeated_rows_are_mixed_as_often_as_they_stand(spark):
+    rows = [(1, "w w", "a")] * 5 + [(1, "w w", "b"), (None, "w w", None), (None, "w w", None), (2, None, "a")]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix(docs).filter("taken > 0").collect():
+        want[(r["doc_id"], r["source"])] += max(1, round(r["taken"] / r["size"]))
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.apply_mix(docs).collect()) == want
 
 
 def test_mix_stage_and_oracle(spark, sf):
