@@ -56,6 +56,22 @@ def keyed(id_: Column, name: str = "_key") -> list[Column]:
     return [F.coalesce(id_.cast("string"), F.lit("")).alias(name), id_.isNull().alias(f"{name}_null")]
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """The rows of docs that ``kept`` (id, sha of ``text``, rows with both) names, one where several rows have both.
+
+    Texts are moved once, by id and digest, and are neither sorted in a window nor gathered by group; only rows that
+    repeat id and text are merged, on the map side first.
+    """
+    by = ["_key", "_key_null", "_sha"]
+    kept = table(kept.select(*keyed(F.col("id")), F.col("sha").alias("_sha"), F.col("rows").alias("_rows")))
+    marked = docs.select("*", *keyed(F.col(id_col)), F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha"))
+    found = marked.join(kept.filter("_rows = 1"), by, "left_semi").select(*docs.columns)
+    again = kept.filter("_rows > 1")
+    if again.isEmpty():
+        return found
+    return found.unionByName(marked.join(again, by, "left_semi").dropDuplicates(by).select(*docs.columns))
+
+
 #: The letters that normalisation folds.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -9,18 +9,19 @@ left for each document. Equal names of equally long texts mean equal texts, with
   the bytes themselves (``_clashing``), so the hash never decides.
 * The levels above work on pairs of integers; there are log2(blocks of the longest document) of them.
 
-Cases: null text counts as empty, and empty texts are equal to each other. Rows that repeat both the id
-and the text are one document and give one row. A null id is smaller than any other. Different texts
-under one id are different documents. Extra columns are ignored here and kept by ``drop_copies``.
+Cases: null text counts as empty, and empty texts are equal to each other. Every row is a document and gives a
+row, also where it repeats both the id and the text of another (then all such rows are kept or none, and ``drop_copies``
+keeps one of them). A null id is smaller than any other. Different texts under one id are different documents. A very
+long text is only more blocks. Ties in the id can't matter: rows with equal id and text are the same. An empty table
+gives an empty result. Extra columns are ignored here and kept by ``drop_copies``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._shared import fold_ascii, keyed, let, read, table
+from ._shared import fold_ascii, keep_rows, let, read, table
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -58,8 +59,8 @@ def _clashing(rows: DataFrame, names: DataFrame) -> DataFrame | None:
     return hit.join(by_bytes, "block").select("id", "sha", "n", "pos", "name")
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=_hash) -> DataFrame:
-    """id, sha, n, name: two documents have equal texts exactly if n and name are equal."""
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=_hash) -> tuple[DataFrame, DataFrame]:
+    """id, sha, n, name, rows: two documents have equal texts exactly if n and name are equal; rows have that id and text. And id, sha, n of each row."""
     rows = _cut(docs, id_col, text_col, block).withColumn("h", hashed(F.col("block")))
     blocks = rows.select("h", "block").distinct().sortWithinPartitions("block").select("h", F.monotonically_increasing_id().alias("name"))
     names = table(blocks.groupBy("h").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("blocks")))
@@ -67,8 +68,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if (clashing := _clashing(rows, names)) is not None:
         named = named.unionByName(clashing)
     level = table(named.withColumn("left", F.greatest(F.ceil(F.col("n") / block), F.lit(1))))
+    each = level.filter("pos = 0").select("id", "sha", "n")
     longest = level.agg(F.max("left")).first()[0] or 1
-    ended = [level.filter("left = 1")]
+    found = each.select("*", F.lit(None).cast("long").alias("name"), F.lit(1).alias("rows")).unionByName(level.filter("left = 1").select("id", "sha", "n", "name", F.lit(0).alias("rows")))
     while longest > 1:
         pairs = (
             level.filter("left > 1")
@@ -77,34 +79,37 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         names = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id())
         level = table(pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name", F.ceil(F.col("left") / 2).alias("left")))
-        ended.append(level.filter("left = 1"))
+        found = found.unionByName(level.filter("left = 1").select("id", "sha", "n", "name", F.lit(0).alias("rows")))
         longest = -(-longest // 2)
-    found = ended[0]
-    for more in ended[1:]:
-        found = found.unionByName(more)
-    return found.groupBy("id", "sha", "n").agg(F.max("name").alias("name"))
+    return found.groupBy("id", "sha", "n").agg(F.max("name").alias("name"), F.sum("rows").alias("rows")), each
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK, hashed=_hash) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """identities (written), n, name, keep_id, group_size, and the rows."""
+    found, each = identities(docs, id_col, text_col, block, hashed)
+    found = table(found)
+    return found, table(found.groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size"))), each
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=_hash) -> DataFrame:
-    """One row for each document: id_col, keep_id, group_size, kept, text_sha256.
+    """One row for each row: id_col, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the one with the largest id stays. The groups are written before they are joined, so
-    that both sides of the join are plain exchanges and a hot group's side can be split at run time.
+    that both sides of a join are plain exchanges and a hot group's side can be split at run time.
     """
-    found = table(identities(docs, id_col, text_col, block, hashed))
-    groups = table(found.groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return found.join(groups, ["n", "name"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    found, groups, each = _groups(docs, id_col, text_col, block, hashed)
+    judged = table(found.join(groups, ["n", "name"]).select("id", "sha", "n", "keep_id", "group_size"))
+    same = each["id"].eqNullSafe(judged["id"]) & (each["sha"] == judged["sha"]) & (each["n"] == judged["n"])
+    return each.join(judged, same).select(
+        each["id"].alias(id_col), "keep_id", "group_size", each["id"].eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex(each["sha"])).alias("text_sha256")
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; a row that repeats id and text stays once."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(*keyed(F.col(id_col)), F.col("text_sha256").alias("_sha"))
-    by = ["_key", "_key_null", "_sha"]
-    marked = docs.select("*", *keyed(F.col(id_col)), F.sha2(fold_ascii(F.col(text_col)), 256).alias("_sha"))
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    return marked.join(kept, by, "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+    """The documents that stay, with all their columns; of rows that repeat id and text one stays."""
+    found, groups, _ = _groups(docs, id_col, text_col)
+    kept = found.join(groups, ["n", "name"]).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "sha", "rows")
+    return keep_rows(docs, kept, id_col, fold_ascii(F.col(text_col)))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
