@@ -1,23 +1,28 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 * Labels. Documents are labelled, tokens aren't. Of a bounded sample (``SAMPLE`` documents of each class,
-  the first by a hash, ``TRAIN_CHARS`` characters of each) one part gives the evidence: words and word
+  the first by a hash, of ``CHARS`` characters together at most; whole texts) one part gives the evidence: words and word
   beginnings that stand in many more toxic documents than others. In toxic documents the tokens that show evidence are
-  labelled 1, all other tokens 0, in clean documents every token.
+  labelled 1, all other tokens 0, in clean documents every token. Equal texts (case and white space aside) count once
+  for each label, before the sample is drawn, so no copied text makes its words evidence.
 * Field. Two states; a token's features are its letters, lower-cased, their beginnings and its length; the transitions
-  are learned with the features' weights by gradient steps on the exact likelihood (forward-backward).
+  are learned with the features' weights by gradient steps on the exact likelihood (forward-backward). A document is one
+  chain, in training and in scoring.
 * Scores. Forward-backward gives each token's marginal. A document's marginals are summed up in a few
   figures (their sum, largest, share, and how many are likely), and a logistic regression on the sample's
-  other part turns these into the score, corrected for the labels' true shares. Copies and near copies (the same
-  first ``ALIKE`` characters and label) count once in the sample, so no copied text makes its words evidence. Tokens with a marginal of ``SPAN_AT`` or more, joined where they
-  are adjacent, are the offending offsets (code points, ends exclusive).
+  other part turns these into the score, corrected for the labels' true shares. Tokens with a marginal of ``SPAN_AT`` or
+  more, joined where they are adjacent, are the offending offsets (code points, ends exclusive).
 
-Whole texts are scored, in chains of ``CHAIN`` tokens. Nothing but the text is an input of a score.
+With two states a message is one number, the odds of state 1. The documents of a block are sorted by length and
+advance together, token by token; those that have ended drop out, so nothing is padded or cut.
 
-Cases: null or empty texts have no tokens and get the score of a document without evidence. With fewer
-than two labelled documents of a class no field is learned, and every score is the share of label 1. Labels
-that are null are left out; of repeated labels each counts. Repeated rows give repeated results; extra columns
-are ignored here and kept by ``drop_toxic``.
+Nothing but the text is an input of a score.
+
+Cases: null or empty texts have no tokens and get the score of a document without evidence. A very long text is one
+chain, in as many steps as it has tokens. With fewer than two labelled documents of a class no field is learned, and
+every score is the share of label 1. Labels that are null are left out, as are labels of null ids; of repeated labels
+each counts once for each different text. Of the texts of a repeated id the one with the least hash is learned from. Repeated rows give
+repeated results, ties can't matter. An empty table gives an empty result. Extra columns are ignored here and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -31,22 +36,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import read, whole
+from ._shared import read, table, whole
 
-#: The sample of each class, and the characters of a document that training uses.
-SAMPLE, TRAIN_CHARS, SEED = 2500, 8000, 11
+#: The documents of each class in the sample, and the characters of its texts, at most.
+SAMPLE, CHARS, SEED = 2500, 24_000_000, 11
 #: Folds by CRC-32 of the id; this one is never learned from.
 FOLDS, HELD_OUT = 4, 2
-THRESHOLD, SPAN_AT, CHAIN = 0.3, 0.5, 64
+THRESHOLD, SPAN_AT = 0.3, 0.5
 #: Evidence: in so many and this share of the toxic documents at least, and so many times as often as in others.
 LEAST_DOCS, LEAST_SHARE, LIFT = 5, 0.02, 4.0
 #: Beginnings of words that are features; features need so many documents.
 BEGINNINGS, FEATURE_DOCS = (3, 4, 5, 6, 7, 8), 5
-#: Passes over the sample, and steps at least.
-EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 256, 0.05, 1e-3
+#: The beginnings of a word of so many letters, up to the longest.
+LONGEST = [tuple(k for k in BEGINNINGS if k <= n) for n in range(max(BEGINNINGS) + 1)]
+#: Passes over the sample, and steps at least; tokens of a step, about.
+EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 1 << 14, 0.05, 1e-3
+#: Tokens that gradients stand for, so that their scale against the decay doesn't depend on the step.
+TOKENS = 64
 #: Tokens of a task whose unary scores are kept.
 KEPT = 200_000
-ALIKE = 40
+#: Characters of a block of texts, about.
+BLOCK = 1 << 21
 LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -78,35 +88,31 @@ class Field:
 
     def unary(self, tokens: list[str]) -> np.ndarray:
         """The score of state 1 against state 0 for each token."""
-        known = self.known
+        known, get, bias = self.known, self.weight.get, self.bias
         if len(known) > KEPT:
             known.clear()
         for t in set(tokens).difference(known):
-            known[t] = min(20.0, max(-20.0, self.bias + sum(map(self.weight.get, features(t), [0.0] * 99))))
+            word = t.lower() if t.isalpha() else LETTERS.sub("", t.lower())
+            total = bias
+            if word:  # the sum over features(t)
+                total += get(f"={word}", 0.0)
+                for k in LONGEST[: len(word) + 1][-1]:
+                    total += get(f"^{word[:k]}", 0.0)
+            known[t] = min(20.0, max(-20.0, total))
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.float64, count=len(tokens))
 
-    def marginals(self, unary: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return forward_backward(unary, lengths, self.transition)[0]
-
-    def summary(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
-        """For each text its figures, its tokens' marginals and its tokens."""
+    def summary(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For each text its figures, and its tokens' marginals."""
         tokens = [t.split() for t in texts]
-        counts = np.array([len(t) for t in tokens], dtype=np.int64)
-        unary = self.unary([x for t in tokens for x in t])
-        # Every text's tokens fill rows of CHAIN; the last row of a text is padded.
-        rows = -(-counts // CHAIN)
-        first_row, first = np.cumsum(rows) - rows, np.cumsum(counts) - counts
-        place = np.arange(len(unary)) - np.repeat(first, counts) + np.repeat(first_row * CHAIN, counts)
-        grid = np.zeros(int(rows.sum()) * CHAIN)
-        grid[place] = unary
-        lengths = np.full(int(rows.sum()), CHAIN)
-        full = rows > 0
-        lengths[(first_row + rows - 1)[full]] = (counts - (rows - 1) * CHAIN)[full]
-        grid = grid.reshape(-1, CHAIN)
-        likely = np.concatenate([self.marginals(grid[i : i + 4096], lengths[i : i + 4096]) for i in range(0, len(grid), 4096)]) if len(grid) else grid
-        each = np.split(likely.reshape(-1)[place], np.cumsum(counts)[:-1]) if len(texts) else []
-        figures = np.array([[m.sum(), m.max(initial=0), m.sum() / max(1, len(m)), (m >= SPAN_AT).sum()] for m in each]).reshape(-1, 4)
-        return np.stack([np.log1p(figures[:, 0]), figures[:, 1], np.sqrt(figures[:, 2]), np.log1p(figures[:, 3])], axis=1), each, tokens
+        counts = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        likely = forward_backward(self.unary([x for t in tokens for x in t]), counts, self.transition)[0]
+        figures = np.zeros((len(texts), 4))
+        if some := np.flatnonzero(counts).tolist():
+            first = (np.cumsum(counts) - counts)[some]
+            total = np.add.reduceat(likely, first)
+            hits = np.add.reduceat((likely >= SPAN_AT).astype(np.int64), first)
+            figures[some] = np.stack([np.log1p(total), np.maximum.reduceat(likely, first), np.sqrt(total / counts[some]), np.log1p(hits)], axis=1)
+        return figures, np.split(likely, np.cumsum(counts)[:-1]) if texts else []
 
     def scores(self, figures: np.ndarray) -> np.ndarray:
         if self.prior is not None:
@@ -115,34 +121,40 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def forward_backward(unary: np.ndarray, lengths: np.ndarray, transition: np.ndarray, pairs: bool = False):
-    """Marginals of state 1 (rows, chain), and with ``pairs`` the expected transitions (2, 2). Exact, in normalised steps."""
-    n, length = unary.shape
-    move, boost = np.exp(transition), np.exp(unary)
-    inside = np.arange(length)[None, :] < lengths[:, None]
-    forward = np.empty((length, n, 2))
-    now = np.stack([np.ones(n), boost[:, 0]], axis=1)
-    forward[0] = now / now.sum(1, keepdims=True)
-    for t in range(1, length):
-        now = forward[t - 1] @ move
-        now[:, 1] *= boost[:, t]
-        now /= now.sum(1, keepdims=True)
-        forward[t] = np.where(inside[:, t, None], now, forward[t - 1])
-    back = np.ones((n, 2))
-    out, expected = np.zeros((n, length)), np.zeros((2, 2))
-    for t in range(length - 1, -1, -1):
-        both = forward[t] * back
-        out[:, t] = both[:, 1] / both.sum(1)
-        if t:
-            ahead = back.copy()
-            ahead[:, 1] *= boost[:, t]
-            if pairs:
-                joint = forward[t - 1][:, :, None] * move[None] * ahead[:, None, :]
-                expected += (joint / joint.sum((1, 2), keepdims=True))[inside[:, t]].sum(0)
-            earlier = ahead @ move.T
-            earlier /= earlier.sum(1, keepdims=True)
-            back = np.where(inside[:, t, None], earlier, back)
-    return out * inside, expected
+def forward_backward(unary: np.ndarray, counts: np.ndarray, transition: np.ndarray, pairs: bool = False):
+    """Marginals of state 1 of all tokens, chain after chain (of ``counts`` tokens), and with ``pairs`` the expected transitions (2, 2). Exact."""
+    n, ((m00, m01), (m10, m11)) = len(unary), np.exp(transition)
+    if not n:
+        return np.zeros(0), np.zeros((2, 2))
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[order] = np.arange(len(counts))
+    # Step by step, the longest chain first: token t of a chain stands at begin[t] + its chain's rank.
+    active = len(counts) - np.searchsorted(np.sort(counts), np.arange(counts.max()), side="right")
+    begin = np.cumsum(active) - active
+    step = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = begin[step] + np.repeat(rank, counts)
+    boost = np.empty(n)
+    boost[place] = np.exp(unary)
+    forward, back = np.empty(n), np.ones(n)  # odds of state 1 by what stands up to a token, and behind it
+    bounds = list(zip(begin.tolist(), (begin + active).tolist(), strict=True))
+    a, z = bounds[0]
+    now = forward[a:z] = boost[a:z]
+    for a, z in bounds[1:]:
+        now = now[: z - a]
+        now = forward[a:z] = boost[a:z] * (m01 + m11 * now) / (m00 + m10 * now)
+    for (a, _), (c, z) in zip(bounds[-2::-1], bounds[:0:-1], strict=True):
+        ahead = boost[c:z] * back[c:z]
+        back[a : a + z - c] = (m10 + m11 * ahead) / (m00 + m01 * ahead)
+    odds = forward * back
+    expected = np.zeros((2, 2))
+    if pairs and len(bounds) > 1:
+        later = np.arange(bounds[1][0], n)
+        earlier = later - np.repeat(active[:-1], active[1:])  # the same chain's token a step before
+        r, ahead = forward[earlier], boost[later] * back[later]
+        joint = np.stack([np.full(len(r), m00), m01 * ahead, m10 * r, m11 * r * ahead])
+        expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
+    return (odds / (1 + odds))[place], expected
 
 
 def _evidence(texts: list[str], labels: np.ndarray) -> tuple[dict[str, int], set[str]]:
@@ -162,8 +174,6 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
     field = Field()
     if share is None:
         share = sum(labels) / max(1, len(labels))
-    once = {(t[:ALIKE].lower(), label): (t, label) for t, label in zip(texts, labels, strict=True)}
-    texts, labels = [t for t, _ in once.values()], [label for _, label in once.values()]
     y = np.array(labels, dtype=np.int64)
     if len(y) == 0 or min((y == 0).sum(), (y == 1).sum()) < 2:
         field.prior = float(share) if len(y) else 0.0
@@ -174,45 +184,41 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
         rows = r.permutation(np.flatnonzero(y == label))
         for_field[rows[: -(-len(rows) * 3 // 5)]] = True
     number, evidence = _evidence([t for t, a in zip(texts, for_field, strict=True) if a], y[for_field])
-    wide, of_token, shows = 1 + len(BEGINNINGS), {}, {}
-    chains = []
-    for text, label, a in zip(texts, y, for_field, strict=True):
-        tokens = text.split() if a else []
-        for t in set(tokens).difference(of_token):
-            found = features(t)
-            of_token[t] = [number[f] for f in found if f in number]
-            shows[t] = any(f in evidence for f in found)
-        for i in range(0, len(tokens), CHAIN):
-            part = tokens[i : i + CHAIN]
-            tags = [int(label == 1 and shows[t]) for t in part]
-            if any(shows[t] for t in part) or r.random() < 0.15:
-                chains.append((part, tags))
-    none = len(number)
-    x = np.full((len(chains), CHAIN, wide), none, dtype=np.int32)
-    tags, lengths = np.zeros((len(chains), CHAIN)), np.zeros(len(chains), dtype=np.int64)
-    for i, (part, tag) in enumerate(chains):
-        lengths[i] = len(part)
-        tags[i, : len(tag)] = tag
-        for j, t in enumerate(part):
-            x[i, j, : len(of_token[t])] = of_token[t]
+    wide, none = 1 + len(BEGINNINGS), len(number)
+    # The features of each different token, once; documents are rows of token numbers.
+    of_token: dict[str, int] = {}
+    documents = [np.array([of_token.setdefault(t, len(of_token)) for t in text.split()], dtype=np.int64) for text, a in zip(texts, for_field, strict=True) if a]
+    x, shows = np.full((len(of_token), wide), none, dtype=np.int32), np.zeros(len(of_token), dtype=bool)
+    for i, t in enumerate(of_token):
+        found = features(t)
+        known = [number[f] for f in found if f in number]
+        x[i, : len(known)] = known
+        shows[i] = any(f in evidence for f in found)
+    tags = [shows[d] & (label == 1) for d, label in zip(documents, y[for_field], strict=True)]
+    sizes = np.array([len(d) for d in documents], dtype=np.int64)
     weight, bias, transition = np.zeros(none + 1), np.array([field.bias]), np.zeros((2, 2))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("w", weight), ("b", bias), ("t", transition))}
-    step = 0
-    batches = max(1, -(-len(chains) // BATCH))
+    step, batches = 0, max(1, -(-int(sizes.sum()) // BATCH))
     for _ in range(max(EPOCHS, -(-STEPS // batches))):
-        order = r.permutation(len(chains))
-        for at in range(0, len(order), BATCH):
-            rows, step = order[at : at + BATCH], step + 1
-            part, tag, size = x[rows], tags[rows], lengths[rows]
-            inside = np.arange(CHAIN)[None, :] < size[:, None]
-            likely, expected = forward_backward((weight[part].sum(2) + bias) * inside, size, transition, True)
-            wrong = (likely - tag) * inside
-            t0, t1, both = tag[:, :-1].astype(int), tag[:, 1:].astype(int), inside[:, 1:]
-            seen = np.bincount((2 * t0 + t1)[both], minlength=4).reshape(2, 2)
+        order = r.permutation(len(documents))
+        lots = np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // BATCH)) + 1)
+        for rows in lots:
+            step += 1
+            part, tag, size = np.concatenate([documents[i] for i in rows]), np.concatenate([tags[i] for i in rows]), sizes[rows]
+            if not len(part):
+                continue
+            scores = weight[x[part]].sum(1) + bias
+            likely, expected = forward_backward(np.clip(scores, -20, 20), size, transition, True)
+            wrong = likely - tag
+            inside = np.ones(len(tag), dtype=bool)
+            inside[(np.cumsum(size) - size)[size > 0]] = False  # has a token before it
+            at = np.flatnonzero(inside)
+            seen = np.bincount(2 * tag[at - 1] + tag[at], minlength=4).reshape(2, 2)
+            scale = size.sum() / TOKENS
             gradient = {
-                "w": np.bincount(part.reshape(-1), np.repeat(wrong.reshape(-1), wide), minlength=none + 1) / len(rows) + DECAY * weight,
-                "b": np.array([wrong.sum()]) / len(rows),
-                "t": (expected - seen) / len(rows),
+                "w": np.bincount(x[part].reshape(-1), np.repeat(wrong, wide), minlength=none + 1) / scale + DECAY * weight,
+                "b": np.array([wrong.sum()]) / scale,
+                "t": (expected - seen) / scale,
             }
             gradient["w"][none] = 0
             for k, v in (("w", weight), ("b", bias), ("t", transition)):
@@ -223,7 +229,7 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
     field.weight = {f: float(weight[i]) for f, i in number.items() if abs(weight[i]) > 1e-4}
     field.bias, field.transition = float(bias[0]), transition
     rest = [t for t, a in zip(texts, for_field, strict=True) if not a]
-    figures = np.concatenate([field.summary(rest[i : i + 200])[0] for i in range(0, len(rest), 200)]) if rest else np.zeros((0, 4))
+    figures = np.concatenate([field.summary(b)[0] for b in blocks(rest)]) if rest else np.zeros((0, 4))
     _fit_document(field, figures, y[~for_field])
     seen = y[~for_field].mean() if len(rest) else share
     if field.prior is None and 0 < share < 1:
@@ -245,17 +251,45 @@ def _fit_document(field: Field, figures: np.ndarray, y: np.ndarray) -> None:
     field.document = w
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], list[int], float]:
-    """Labelled texts outside the held-out fold, at most ``most`` of each label, the first by a hash of the id; and the share of label 1 in all."""
+def blocks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in blocks of about ``BLOCK`` characters, a longer text alone."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK):
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, chars: int = CHARS) -> tuple[list[str], list[int], float]:
+    """Labelled texts outside the held-out fold, at most ``most`` of each label and ``chars`` characters, the first by a hash of the id; and the share of label 1 in all.
+
+    Texts are digested where they stand; only ids, digests and lengths are joined with the labels, and only the texts of the
+    chosen ids (one each) reach the driver.
+    """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    there = usable.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").withColumn("mark", F.xxhash64("id"))
-    chosen = [row for label in (0, 1) for row in there.filter(F.col("label") == label).orderBy("mark", "id").limit(most).collect()]
+    text = whole(F.col(text_col))
+    plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    digested = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("alike"), F.char_length(text).alias("size"), F.xxhash64(text).alias("th"))
+    there = digested.groupBy("id").agg(F.min(F.struct("th", "alike", "size")).alias("d")).join(usable.distinct(), "id").select("id", "label", "d.*")
+    once = table(there.groupBy("label", "alike").agg(F.min(F.struct(F.xxhash64("id").alias("mark"), "id", "th", "size")).alias("d")).select("label", "d.*"))
+    chosen = []
+    for label in (0, 1):
+        total = 0
+        for row in once.filter(F.col("label") == label).orderBy("mark", "id").limit(most).collect():
+            if total + row["size"] <= chars // 2:
+                total += row["size"]
+                chosen.append(row)
     if not chosen:
         return [], [], 0.0
     share = usable.agg(F.avg("label")).first()[0]
-    picked = F.broadcast(docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in chosen], usable.schema))  # 2 * most rows
-    rows = docs.select(F.col(id_col).alias("id"), F.substring(whole(F.col(text_col)), 1, TRAIN_CHARS).alias("t")).join(picked, "id").select("id", "t", "label").collect()
-    rows.sort(key=lambda r: (r["id"], r["t"]))
+    kind = usable.schema["id"].dataType.simpleString()
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(r["id"], r["th"], r["label"]) for r in chosen], f"id {kind}, th long, label int"))  # 2 * most rows
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("th")).join(picked, ["id", "th"])
+    rows = rows.groupBy("id", "label").agg(F.min("t").alias("t")).collect()  # one for each chosen row
+    rows.sort(key=lambda r: (r["label"], r["id"]))
     return [r["t"] for r in rows], [r["label"] for r in rows], share
 
 
@@ -279,17 +313,11 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            scores, spans, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
-                    end += 1
-                figures, likely, _ = field.summary(texts[at:end])
+            scores, spans = [], []
+            for texts in blocks(b.column(1).to_pylist()):
+                figures, likely = field.summary(texts)
                 scores += field.scores(figures).tolist()
-                spans += [_spans(t, m) for t, m in zip(texts[at:end], likely, strict=True)]
-                at = end
+                spans += [_spans(t, m) for t, m in zip(texts, likely, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], ["id", "score", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -307,14 +335,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keep, at = b.column(b.num_columns - 1).to_pylist(), [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
-                    end += 1
-                keep += (field.scores(field.summary(texts[at:end])[0]) < THRESHOLD).tolist()
-                at = end
+            keep = [x for texts in blocks(b.column(b.num_columns - 1).to_pylist()) for x in (field.scores(field.summary(texts)[0]) < THRESHOLD).tolist()]
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
     return docs.select("*", whole(F.col(text_col)).alias("_text")).mapInArrow(run, docs.schema)

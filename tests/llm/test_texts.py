@@ -254,21 +254,43 @@ def test_secrets_query(spark, sf):
 
 def test_forward_backward_is_exact():
     r = np.random.default_rng(1)
-    unary, move, lengths = r.normal(size=(3, 5)), r.normal(size=(2, 2)), np.array([5, 3, 1])
-    likely, expected = toxicity.forward_backward(unary, lengths, move, True)
-    pairs = np.zeros((2, 2))
-    for row, n in enumerate(lengths):
-        total, marginal, counts = 0.0, np.zeros(5), np.zeros((2, 2))
+    counts, move = np.array([0, 3, 1, 5, 3, 0]), r.normal(size=(2, 2))
+    unary = r.normal(size=counts.sum())
+    likely, expected = toxicity.forward_backward(unary, counts, move, True)
+    pairs, at = np.zeros((2, 2)), 0
+    for n in counts.tolist():
+        total, marginal, seen = 0.0, np.zeros(n), np.zeros((2, 2))
         for code in range(2**n):
             tags = [code >> k & 1 for k in range(n)]
-            weight = np.exp(sum(unary[row, k] * tags[k] for k in range(n)) + sum(move[a, b] for a, b in zip(tags, tags[1:], strict=False)))
+            weight = np.exp(sum(unary[at + k] * tags[k] for k in range(n)) + sum(move[a, b] for a, b in zip(tags, tags[1:], strict=False)))
             total += weight
-            marginal[:n] += weight * np.array(tags)
+            marginal += weight * np.array(tags)
             for a, b in zip(tags, tags[1:], strict=False):
-                counts[a, b] += weight
-        assert likely[row] == pytest.approx(marginal / total)
-        pairs += counts / total
-    assert expected == pytest.approx(pairs)
+                seen[a, b] += weight
+        assert likely[at : at + n] == pytest.approx(marginal / total)
+        pairs += seen / total
+        at += n
+    assert expected == pytest.approx(pairs) and len(toxicity.forward_backward(np.zeros(0), np.zeros(2, dtype=np.int64), move)[0]) == 0
+
+
+def test_a_document_is_one_chain():
+    """A token's marginal depends on what stands hundreds of tokens before it, wherever blocks end."""
+    field = toxicity.Field()
+    field.bias, field.transition, field.weight = 0.0, np.array([[6.0, -6.0], [-6.0, 6.0]]), {"=start": 30.0}
+    one, other = (field.summary([w + " x" * 400])[1][0] for w in ("start", "x"))
+    assert one[300] > 0.7 > 0.6 > other[300]
+
+
+def test_sample_is_whole_and_bounded(spark):
+    texts = {i: f"word{i} " * 3000 for i in range(40)}
+    docs = frame(spark, [*texts.items(), (3, "zz"), (41, " Same  text"), (42, "same TEXT "), *[(43, "again and again")] * 50, (None, "x"), (44, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(45), 41]], "doc_id long, toxic int")
+    got, marks, share = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 100)
+    learned = [i for i in range(45) if i != 40 and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(got) == len(learned) and all(t in {"zz", "again and again", "", " Same  text", "same TEXT ", *texts.values()} for t in got)
+    assert len(marks) == len(got) and 0 < share < 1
+    few, _, _ = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 100, chars=120_000)
+    assert 0 < sum(map(len, few)) <= 120_000 and len(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 3)[0]) == 6
 
 
 def test_toxic_spans_and_edges(spark):
@@ -304,10 +326,10 @@ def test_toxicity_held_out():
     import duckdb
 
     d = "/root/testdata/sf0.1"
-    rows = duckdb.sql(f"SELECT doc_id, toxic, text FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id)").fetchall()
+    rows = duckdb.sql(f"SELECT min(doc_id), toxic, text FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) GROUP BY toxic, text ORDER BY 1").fetchall()
     fold = lambda i: zlib.crc32(str(i).encode()) % 4
     learn = [x for x in rows if fold(x[0]) != 2]
-    field = toxicity.train([x[2][: toxicity.TRAIN_CHARS] for x in learn], [x[1] for x in learn])
+    field = toxicity.train([x[2] for x in learn], [x[1] for x in learn])
     rest = [x for x in rows if fold(x[0]) == 2]
     hit = field.scores(field.summary([x[2] for x in rest])[0]) >= toxicity.THRESHOLD
     y = np.array([x[1] for x in rest]) == 1
