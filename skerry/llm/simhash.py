@@ -18,12 +18,15 @@ are similar enough share one of the first n - ceil(similarity * n) + 1 in that o
 a shingle are the candidates and none is missed. At each shingle the neighbours in order of size, and each with
 the first, are verified before all others; what these links connect isn't compared again, so a large group of near
 copies costs what its rows cost. All other pairs at a shingle are compared unless their sizes and the shingle's
-places rule them out. A pair is verified by the Jaccard similarity of the whole sets (of 64-bit hashes).
+places rule them out. A pair is first held against a bound: each set's hashes are counted by their last bits (a byte for
+two to four hashes), and the sum of the lesser counts can't be below what the sets share. What passes is verified by the
+Jaccard similarity of the whole sets (of 64-bit hashes), which are made anew for these few texts only.
 
 Cases: null or empty texts have fingerprint zero and link like any other; texts with fewer words than a
-shingle use the whole sequence. Rows that repeat an id stay separate rows. A null id never becomes a
-component's id unless all ids in it are null. Extra columns are ignored here and kept by ``keep_one``, which
-tells rows apart by id and text: rows that repeat both are one.
+shingle use the whole sequence. A very long text is hashed whole, its bits are summed a part at a time. Ties: of equal
+ids the text with the least hash stands for a component in ``keep_one``. Rows that repeat an id stay separate rows. A null
+id never becomes a component's id unless all ids in it are null. An empty table gives an empty result. Extra columns are
+ignored here and kept by ``keep_one``, which tells rows apart by id and text: rows that repeat both are one.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from ._shared import keyed, read, table, whole
+from ._shared import in_batches, keep_rows, read, table, whole
 from .components import components
 
 SEED = 42
@@ -51,6 +54,8 @@ SKETCH = 64
 PAIRS = [(i, j) for i in range(BLOCKS) for j in range(i)]
 #: About so many documents show which shingles are frequent: those in so many of them, the first so many by count.
 SAMPLED, OFTEN, MOST = 5000, 3, 50_000
+#: Texts (digests of 32 bytes) to be verified that are broadcast, at most; more are joined by a shuffle.
+BROADCAST = 200_000
 #: Rounding of products with the similarity.
 _TINY = 1e-6
 #: The rows of bits that are summed at a time.
@@ -97,6 +102,21 @@ def _class(found: np.ndarray) -> int:
     return int.from_bytes(blake2b(found.astype("<u8").tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """How many hashes have each value of their last bits, a byte each; empty if a count doesn't fit."""
+    m = 1 << max(3, (len(found) // 2).bit_length() - 1)
+    counts = np.bincount((found & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _at_most(a: bytes, b: bytes) -> float:
+    """How many hashes two sets can share, by their sketches."""
+    if not a or not b:
+        return float("inf")
+    x, y = sorted((np.frombuffer(v, dtype=np.uint8) for v in (a, b)), key=len)
+    return float(np.minimum(x, y.reshape(-1, len(x)).sum(0, dtype=np.int64)).sum())
+
+
 def _prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first hashes of a sorted set, by count and then hash: similar sets share one of them."""
     n = len(found)
@@ -116,7 +136,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return in_batches(docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).cast("binary").alias("t")), run, f"id {kind}, fp long")
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -135,7 +155,7 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray,
 
     every = max(1, docs.count() // SAMPLED)
     some = docs.select(whole(F.col(text_col)).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).distinct()
-    seen = some.select(F.col("t").cast("binary")).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    seen = in_batches(some.select(F.col("t").cast("binary")), run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
     rows = seen.orderBy(F.desc("n"), "h").limit(MOST).collect()
     often, counts = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
     order = np.argsort(often)
@@ -143,28 +163,29 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray,
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """id, sha, fp, cls, n (shingles of the set), prefix for each row."""
+    """id, sha, fp, cls, n (shingles of the set), sketch, prefix for each row."""
     often, counts = _frequent(docs, text_col, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                fps, cls, sizes, prefixes = [], [], [], []
+                fps, cls, sizes, sketches, prefixes = [], [], [], [], []
                 for t in b.column(2):
                     hashes = _hashes(t.as_buffer().to_pybytes(), shingle)
                     found = np.unique(hashes)
                     fps.append(_signed(_margins(hashes)))
                     cls.append(_class(found))
                     sizes.append(len(found))
+                    sketches.append(_sketch(found))
                     prefixes.append(_prefix(found, often, counts, similarity))
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), prefix], ["id", "sha", "fp", "cls", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], ["id", "sha", "fp", "cls", "n", "sketch", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = _texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text")
-    return texts.select("id", "sha", "t").mapInArrow(run, f"id {kind}, sha binary, fp long, cls long, n long, prefix array<long>")
+    return in_batches(texts.select("id", "sha", "t"), run, f"id {kind}, sha binary, fp long, cls long, n int, sketch binary, prefix array<long>")
 
 
 def estimate(a: bytes, b: bytes) -> float:
@@ -175,30 +196,43 @@ def estimate(a: bytes, b: bytes) -> float:
     return 1.0 if not len(union) else float(np.isin(union, np.intersect1d(x, y)).mean())
 
 
+def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b) with va and vb, their values (cls, v)."""
+    for x in "ab":
+        pairs = pairs.join(values.select(F.col("cls").alias(x), F.col("v").alias(f"v{x}")), x)
+    return pairs.select("a", "b", "va", "vb")
+
+
+def _wanted(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets have the similarity or more."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    shas = rows.select("cls", "sha").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.hex("sha")).alias("sha")).select(F.unhex("sha").alias("sha"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                found = [np.unique(_hashes(t.as_buffer().to_pybytes(), shingle)) for t in batch.column(0).slice(at, 1000)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], ["cls", "found"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fits = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                fits.append(both >= similarity * (len(x) + len(y) - both) - _TINY)
+            x, y = (b.column(k).to_pylist() for k in (2, 3))
+            fits = [_at_most(p["sketch"], q["sketch"]) * (1 + similarity) >= similarity * (p["n"] + q["n"]) - _TINY for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    texts = _texts(docs.select(F.col(text_col).alias("_text")), "_text").select("sha", "t").join(shas, "sha", "left_semi")
-    found = table(texts.dropDuplicates(["sha"]).select("t").mapInArrow(sets, "cls long, found binary"))
-    both = pairs.join(found.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a").join(found.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
-    return both.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                found = [np.unique(_hashes(t.as_buffer().to_pybytes(), shingle)).view(np.int64) for t in b.column(1)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["cls", "v"])
+
+    sketches = rows.join(_wanted(pairs), "cls", "left_semi").groupBy("cls").agg(F.max(F.struct("n", "sketch")).alias("v"))
+    left = table(in_batches(_both(pairs, sketches), possible, "a long, b long"))
+    shas = rows.select("cls", "sha").join(_wanted(left), "cls", "left_semi").groupBy("cls").agg(F.min(F.hex("sha")).alias("sha")).select("cls", F.unhex("sha").alias("sha"))
+    shas = table(shas)
+    if shas.count() <= BROADCAST:
+        shas = F.broadcast(shas)
+    texts = _texts(docs.select(F.col(text_col).alias("_text")), "_text").select("sha", "t").join(shas, "sha").select("cls", "t")
+    found = table(in_batches(texts, sets, "cls long, v array<long>").dropDuplicates(["cls"]))
+    return _both(left, found).filter(F.size(F.array_intersect("va", "vb")) * (1 + similarity) >= similarity * (F.size("va") + F.size("vb")) - _TINY).select("a", "b")
 
 
 def _fits(similarity: float, a: str, b: str) -> Column:
@@ -292,12 +326,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """The documents with one of each group, the one with the smallest id (of its texts the one with the least hash), and all their columns."""
     rows = _similar(docs, id_col, text_col, shingle, distance, CAP, similarity)
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("of"))
-    kept = table(least.select(*keyed(F.col("of.id")), F.col("of.sha").alias("_sha")))
-    by = ["_key", "_key_null", "_sha"]
-    marked = docs.select("*", *keyed(F.col(id_col)), F.unhex(F.sha2(whole(F.col(text_col)).cast("binary"), 256)).alias("_sha"))
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    return marked.join(kept, by, "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+    least = rows.groupBy("root", "id", "sha").agg(F.count(F.lit(1)).alias("rows")).groupBy("root")
+    kept = least.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "rows")).alias("of"))
+    return keep_rows(docs, kept.select("of.id", "of.sha", "of.rows"), id_col, whole(F.col(text_col)))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
