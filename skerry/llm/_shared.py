@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bytes that a Python worker is sent at once, about; a longer row comes alone.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches bounded by bytes, as a number of rows bounds nothing where texts are long.
+
+    The bound is set in the session, if the session has none. A worker gives back its free memory behind each partition.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, None) is None:
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
+
+    def lean(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(lean, schema)
+
+
 def whole(text: Column) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import read, whole
+from ._shared import in_batches, read, whole
 
 #: Words of a generation that a task keeps with their ids.
-KEPT = 250_000
+KEPT = 120_000
 #: Positions of a rank from which they are merged as arrays.
 MANY = 16
 #: Characters of a block of texts, about.
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 
     fields = [f for f in docs.schema.fields if f.name != "ids"]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
-    return docs.select(*(F.col(f"`{f.name}`") for f in fields), whole(F.col(text_col)).alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs.select(*(F.col(f"`{f.name}`") for f in fields), whole(F.col(text_col)).alias("_text")), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -307,7 +307,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             out = pa.array([b"".join(map(token.__getitem__, ids)) for ids in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)]))
+    return in_batches(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +322,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n", "i", "d"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("t")).mapInArrow(run, f"id {kind}, n long, i string, d string")
+    found = in_batches(docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("t")), run, f"id {kind}, n long, i string, d string")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("i").alias("ids_sha256"), F.col("d").alias("decoded_sha256"))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import read, whole
+from ._shared import in_batches, read, whole
 
 #: Characters below which a block is ambiguous; shares of stop words and of link characters.
 SHORT, STOP_HIGH, STOP_LOW, LINKS, ALL_LINKS = 70, 0.30, 0.15, 0.5, 0.9
@@ -207,7 +207,7 @@ def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
-    return pages.select(*keep, whole(F.col(html_col)).alias("_html")).mapInArrow(run, schema)
+    return in_batches(pages.select(*keep, whole(F.col(html_col)).alias("_html")), run, schema)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

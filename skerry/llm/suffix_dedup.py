@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from ._shared import read, table, whole
+from ._shared import in_batches, read, table, whole
 
 LENGTH, GRAM = 400, 64
 #: Bytes that are hashed at a time; positions in them take PLACE bits of a 64-bit key.
@@ -167,7 +167,7 @@ def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 )
 
     kind = keyed.schema["id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"id {kind}, th long, s long, e long, h long, c1 long, c2 long, multi boolean")
+    return in_batches(keyed, run, f"id {kind}, th long, s long, e long, h long, c1 long, c2 long, multi boolean")
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -236,7 +236,7 @@ def _contexts(wanted: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(ids), part.column(1).take(ids), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in fields.items()), pa.array(out, pa.binary())], ["id", "th", *fields, "bytes"])
 
     kind = keyed.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, th long, h long, c1 long, c2 long, big boolean, s long, e long, bytes binary")
+    return in_batches(joined, run, f"id {kind}, th long, h long, c1 long, c2 long, big boolean, s long, e long, bytes binary")
 
 
 def _solve(contexts: DataFrame, length: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _solve(contexts: DataFrame, length: int) -> DataFrame:
             yield solved(rows)
 
     ordered = contexts.repartition(F.col("h")).sortWithinPartitions("h", "id", "th", "s")
-    return ordered.select("h", "c1", "c2", (F.col("e") - F.col("s")).alias("n"), "bytes").mapInArrow(run, f"h long, c1 long, c2 long, earlier {_PARTS}, any {_PARTS}")
+    return in_batches(ordered.select("h", "c1", "c2", (F.col("e") - F.col("s")).alias("n"), "bytes"), run, f"h long, c1 long, c2 long, earlier {_PARTS}, any {_PARTS}")
 
 
 def _count(contexts: DataFrame, length: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _count(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in (0, 1, 2, 4)), pa.array(np.arange(len(x))), pa.array(x), pa.array(y)], ["h", "c1", "c2", "at", "i", "x", "y"])
 
     kind = contexts.schema["id"].dataType.simpleString()
-    strings = once.select("h", "c1", "c2", "bytes", "at").mapInArrow(run, f"h long, c1 long, c2 long, at struct<id:{kind},th:long,s:long>, i long, x long, y long")
+    strings = in_batches(once.select("h", "c1", "c2", "bytes", "at"), run, f"h long, c1 long, c2 long, at struct<id:{kind},th:long,s:long>, i long, x long, y long")
     strings = table(strings.withColumn("pos", F.struct("at", "i")).drop("at"))
     seen = table(strings.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).filter("n > 1"))
     hits = strings.join(seen, ["x", "y"]).select("h", "c1", "c2", "i", (F.col("pos") != F.col("first")).alias("later"))
@@ -301,7 +301,7 @@ def _count(contexts: DataFrame, length: int) -> DataFrame:
             columns = [pa.array([[{"a": x, "b": y} for x, y in _merged(p)] for p in b.column(k).to_pylist()], _ARROW_PARTS) for k in (3, 4)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], b.schema.names)
 
-    return points.mapInArrow(joined, f"h long, c1 long, c2 long, earlier {_PARTS}, any {_PARTS}")
+    return in_batches(points, joined, f"h long, c1 long, c2 long, earlier {_PARTS}, any {_PARTS}")
 
 
 def _merged(points: list[int]) -> list[tuple[int, int]]:
@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return in_batches(joined, run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 * Labels. Documents are labelled, tokens aren't. Of a bounded sample (``SAMPLE`` documents of each class,
   the first by a hash, of ``CHARS`` characters together at most; whole texts) one part gives the evidence: words and word
   beginnings that stand in many more toxic documents than others. In toxic documents the tokens that show evidence are
-  labelled 1, all other tokens 0, in clean documents every token. Equal texts (case and white space aside) count once
+  labelled 1, all other tokens 0, in clean documents every token. Equal texts (case aside) count once
   for each label, before the sample is drawn, so no copied text makes its words evidence.
 * Field. Two states; a token's features are its letters, lower-cased, their beginnings and its length; the transitions
   are learned with the features' weights by gradient steps on the exact likelihood (forward-backward). A document is one
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import read, table, whole
+from ._shared import in_batches, read, table, whole
 
 #: The documents of each class in the sample, and the characters of its texts, at most.
 SAMPLE, CHARS, SEED = 2500, 24_000_000, 11
@@ -271,8 +271,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     text = whole(F.col(text_col))
-    plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    digested = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("alike"), F.char_length(text).alias("size"), F.xxhash64(text).alias("th"))
+    digested = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lower(text)).alias("alike"), F.char_length(text).alias("size"), F.xxhash64(text).alias("th"))
     there = digested.groupBy("id").agg(F.min(F.struct("th", "alike", "size")).alias("d")).join(usable.distinct(), "id").select("id", "label", "d.*")
     once = table(there.groupBy("label", "alike").agg(F.min(F.struct(F.xxhash64("id").alias("mark"), "id", "th", "size")).alias("d")).select("label", "d.*"))
     chosen = []
@@ -321,7 +320,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], ["id", "score", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("t")).mapInArrow(run, f"id {kind}, score double, spans string")
+    found = in_batches(docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("t")), run, f"id {kind}, score double, spans string")
     return found.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
@@ -338,7 +337,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             keep = [x for texts in blocks(b.column(b.num_columns - 1).to_pylist()) for x in (field.scores(field.summary(texts)[0]) < THRESHOLD).tolist()]
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("*", whole(F.col(text_col)).alias("_text")).mapInArrow(run, docs.schema)
+    return in_batches(docs.select("*", whole(F.col(text_col)).alias("_text")), run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
