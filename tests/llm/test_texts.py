@@ -355,15 +355,24 @@ def brute(rows, k, is_query):
     return out
 
 
-@pytest.mark.parametrize("pivots,chunk", [(64, 4096), (3, 10)])
+@pytest.mark.parametrize("pivots,chunk", [(4096, 4096), (3, 10)])
 def test_top_k(spark, pivots, chunk):
     r = np.random.default_rng(3)
     rows = [(i, r.normal(size=8).tolist()) for i in range(200)] + [(200 + i, [1.0] * 8) for i in range(60)]
-    rows += [(300, None), (301, []), (302, [None] * 8), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (305, [1.0, 2.0]), (310, [3.0, 4.0]), (None, [0.0] * 8), (7, rows[7][1]), (320, [4e6] * 8), (321, [-4e6] * 8)]
+    rows += [(300, None), (301, []), (302, [None] * 8), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (305, [1.0, 2.0]), (310, [3.0, 4.0]), (None, [0.0] * 8), (7, rows[7][1]), (320, [4e6] * 8), (321, [-4e6] * 8), (330, [1e9, 1.0]), (331, [1.0, 1.0]), (332, [-3.0, 5.0])]
     got = topk.top_k(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=7, pivots=pivots, chunk=chunk).collect()
     assert Counter(map(tuple, got)) == brute(rows, 7, lambda i: i % 10 == 0)
 
 
+def test_repeated_queries_and_overflow(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 9.0]), (1, [2.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])]
+    got = [tuple(r) for r in topk.top_k(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got in ([(0, 1, 1, 128 * 64), (0, 2, 2, 64 * 64), (0, 3, 2, 64 * 64)], [(0, 1, 1, 128 * 32 + 64 * 576), (0, 2, 2, 64 * 32 + 64 * 576), (0, 3, 2, 64 * 32 + 64 * 576)])
+    for far in ([1e18, 1e18], [1e10, 1e10]):
+        with pytest.raises(Exception, match="fit a 64-bit integer"):
+            topk.top_k(frame(spark, [(0, far), (1, far)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_top_k_query(spark, sf):
     compare(registry.queries()["op10_topk"](spark, sf), topk.ORACLE_SQL, sf)
     assert topk.top_k(frame(spark, [], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
