@@ -6,11 +6,14 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables written by ``table`` in this session, for ``clear``.
 _written: list[str] = []
+#: What ``kept`` holds in this session, for ``clear``.
+_kept: list[DataFrame] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,20 +25,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def table(df: DataFrame) -> DataFrame:
+#: Rows of a file of a narrow table, about.
+FILE_ROWS = 250_000
+
+
+def table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage and fixes the rows.
 
-    Any executor can read the files, so a lost executor costs only its running tasks.
+    Any executor can read the files, so a lost executor costs only its running tasks. rows: about how many narrow rows
+    there are at most, if that is known; the number of files then follows from it, not from the number of shuffle partitions.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_folder(spark)}/skerry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, kept on the executors' disks for several uses. What a lost executor held is computed again from the lineage."""
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete the tables that ``table`` wrote; call it once the results that read them are stored."""
+    """Delete what ``table`` wrote and ``kept`` holds; call it once the results that read them are stored."""
+    while _kept:
+        _kept.pop().unpersist()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -77,14 +95,14 @@ def keyed(id_: Column, name: str = "_key") -> list[Column]:
     return [F.coalesce(id_.cast("string"), F.lit("")).alias(name), id_.isNull().alias(f"{name}_null")]
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text: Column) -> DataFrame:
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text: Column, rows: int | None = None) -> DataFrame:
     """The rows of docs that ``kept`` (id, sha of ``text``, rows with both) names, one where several rows have both.
 
     Texts are moved once, by id and digest, and are neither sorted in a window nor gathered by group; only rows that
     repeat id and text are merged, on the map side first.
     """
     by = ["_key", "_key_null", "_sha"]
-    kept = table(kept.select(*keyed(F.col("id")), F.col("sha").alias("_sha"), F.col("rows").alias("_rows")))
+    kept = table(kept.select(*keyed(F.col("id")), F.col("sha").alias("_sha"), F.col("rows").alias("_rows")), rows)
     marked = docs.select("*", *keyed(F.col(id_col)), F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha"))
     found = marked.join(kept.filter("_rows = 1"), by, "left_semi").select(*docs.columns)
     again = kept.filter("_rows > 1")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import fold_ascii, keep_rows, let, read, table
+from ._shared import fold_ascii, keep_rows, kept, let, read, table
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -59,17 +59,18 @@ def _clashing(rows: DataFrame, names: DataFrame) -> DataFrame | None:
     return hit.join(by_bytes, "block").select("id", "sha", "n", "pos", "name")
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=_hash) -> tuple[DataFrame, DataFrame]:
-    """id, sha, n, name, rows: two documents have equal texts exactly if n and name are equal; rows have that id and text. And id, sha, n of each row."""
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=_hash) -> tuple[DataFrame, DataFrame, int]:
+    """id, sha, n, name, rows: two documents have equal texts exactly if n and name are equal; rows have that id and text. And id, sha, n of each row, and their number."""
     rows = _cut(docs, id_col, text_col, block).withColumn("h", hashed(F.col("block")))
     blocks = rows.select("h", "block").distinct().sortWithinPartitions("block").select("h", F.monotonically_increasing_id().alias("name"))
     names = table(blocks.groupBy("h").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("blocks")))
     named = rows.select("id", "sha", "n", "pos", "h").join(names.filter("blocks = 1").select("h", "name"), "h").select("id", "sha", "n", "pos", "name")
     if (clashing := _clashing(rows, names)) is not None:
         named = named.unionByName(clashing)
-    level = table(named.withColumn("left", F.greatest(F.ceil(F.col("n") / block), F.lit(1))))
+    level = kept(named.withColumn("left", F.greatest(F.ceil(F.col("n") / block), F.lit(1))))
     each = level.filter("pos = 0").select("id", "sha", "n")
-    longest = level.agg(F.max("left")).first()[0] or 1
+    longest, many, n_rows = level.agg(F.max("left"), F.count_if(F.col("left") > 1), F.count_if(F.col("pos") == 0)).first()
+    longest = longest or 1
     found = each.select("*", F.lit(None).cast("long").alias("name"), F.lit(1).alias("rows")).unionByName(level.filter("left = 1").select("id", "sha", "n", "name", F.lit(0).alias("rows")))
     while longest > 1:
         pairs = (
@@ -78,17 +79,17 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(NONE)).alias("b"))
         )
         names = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id())
-        level = table(pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name", F.ceil(F.col("left") / 2).alias("left")))
+        level = table(pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name", F.ceil(F.col("left") / 2).alias("left")), many)
         found = found.unionByName(level.filter("left = 1").select("id", "sha", "n", "name", F.lit(0).alias("rows")))
         longest = -(-longest // 2)
-    return found.groupBy("id", "sha", "n").agg(F.max("name").alias("name"), F.sum("rows").alias("rows")), each
+    return found.groupBy("id", "sha", "n").agg(F.max("name").alias("name"), F.sum("rows").alias("rows")), each, n_rows
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK, hashed=_hash) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """identities (written), n, name, keep_id, group_size, and the rows."""
-    found, each = identities(docs, id_col, text_col, block, hashed)
-    found = table(found)
-    return found, table(found.groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size"))), each
+def _groups(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK, hashed=_hash) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """identities (written), n, name, keep_id, group_size, and the rows with their number."""
+    found, each, rows = identities(docs, id_col, text_col, block, hashed)
+    found = table(found, rows)
+    return found, table(found.groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size")), rows), each, rows
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=_hash) -> DataFrame:
@@ -97,8 +98,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the one with the largest id stays. The groups are written before they are joined, so
     that both sides of a join are plain exchanges and a hot group's side can be split at run time.
     """
-    found, groups, each = _groups(docs, id_col, text_col, block, hashed)
-    judged = table(found.join(groups, ["n", "name"]).select("id", "sha", "n", "keep_id", "group_size"))
+    found, groups, each, rows = _groups(docs, id_col, text_col, block, hashed)
+    judged = table(found.join(groups, ["n", "name"]).select("id", "sha", "n", "keep_id", "group_size"), rows)
     same = each["id"].eqNullSafe(judged["id"]) & (each["sha"] == judged["sha"]) & (each["n"] == judged["n"])
     return each.join(judged, same).select(
         each["id"].alias(id_col), "keep_id", "group_size", each["id"].eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex(each["sha"])).alias("text_sha256")
@@ -107,9 +108,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat id and text one stays."""
-    found, groups, _ = _groups(docs, id_col, text_col)
-    kept = found.join(groups, ["n", "name"]).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "sha", "rows")
-    return keep_rows(docs, kept, id_col, fold_ascii(F.col(text_col)))
+    found, groups, _, rows = _groups(docs, id_col, text_col)
+    staying = found.join(groups, ["n", "name"]).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "sha", "rows")
+    return keep_rows(docs, staying, id_col, fold_ascii(F.col(text_col)), rows)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

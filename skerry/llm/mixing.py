@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import keyed, read, table, whole
+from ._shared import kept, keyed, read, table, whole
 
 #: Rows of a slice of all sources together, at most about.
 SLICE = 4096
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), order.alias("order"), F.xxhash64(whole(F.col(text_col))).alias("text_hash")
     )
-    sized = table(sized)
+    sized = kept(sized)
     digits, rows = 1, sized.count()
     while rows > SLICE * 16**digits:
         digits += 1
@@ -131,7 +131,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Texts stay whole: a document whose words are taken in part stands as often as comes nearest to that part, once at least.
     """
-    found = table(mix(docs, id_col, text_col, source_col, curriculum, budget, most))
+    found = kept(mix(docs, id_col, text_col, source_col, curriculum, budget, most))
     key = [*keyed(F.col(id_col), "_id"), *keyed(F.col(source_col), "_source")]
     by = ["_id", "_id_null", "_source", "_source_null", "_hash"]
     copies = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")

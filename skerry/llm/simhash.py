@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from ._shared import in_batches, keep_rows, read, table, whole
+from ._shared import in_batches, keep_rows, kept, read, table, whole
 from .components import components
 
 SEED = 42
@@ -145,7 +145,7 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"sha": F.unhex(F.sha2(text.cast("binary"), 256)), "t": text.cast("binary")})
 
 
-def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, text_col: str, shingle: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that many sampled documents have, sorted, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray,
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(t.as_buffer().to_pybytes(), shingle)).view(np.int64))], ["h"])
 
-    every = max(1, docs.count() // SAMPLED)
+    every = max(1, n_rows // SAMPLED)
     some = docs.select(whole(F.col(text_col)).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).distinct()
     seen = in_batches(some.select(F.col("t").cast("binary")), run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
     rows = seen.orderBy(F.desc("n"), "h").limit(MOST).collect()
@@ -162,9 +162,9 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray,
     return often[order], counts[order]
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, n_rows: int) -> DataFrame:
     """id, sha, fp, cls, n (shingles of the set), sketch, prefix for each row."""
-    often, counts = _frequent(docs, text_col, shingle)
+    often, counts = _frequent(docs, text_col, shingle, n_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,17 +241,17 @@ def _fits(similarity: float, a: str, b: str) -> Column:
     return rest >= similarity / (1 + similarity) * (F.col(f"{a}n") + F.col(f"{b}n")) - _TINY
 
 
-def _joined(links: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def _joined(links: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, n_rows: int) -> DataFrame:
     """links (a, b) of classes, and links that connect all classes that are similar enough."""
     order = Window.partitionBy("h").orderBy("n", "cls")
     places = rows.select("cls", "n", F.posexplode("prefix").alias("at", "h"))
     of = lambda f: f(F.struct("cls", "n", "at")).over(order)
     marked = places.withColumns({"l": of(F.lag), "f": of(F.first), "more": F.lead("cls").over(order)})
-    shared = table(marked.filter("l is not null or more is not null").select("h", "cls", "n", "at", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lf" for c in ("cls", "n", "at"))))
+    shared = kept(marked.filter("l is not null or more is not null").select("h", "cls", "n", "at", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lf" for c in ("cls", "n", "at"))))
     near = [shared.filter((F.col(f"{x}cls") != F.col("cls")) & _fits(similarity, "", x)).select(F.least("cls", f"{x}cls").alias("a"), F.greatest("cls", f"{x}cls").alias("b")) for x in "lf"]
     first = table(near[0].unionByName(near[1]).distinct())
-    links = table(links.unionByName(_verified(first, rows, docs, text_col, shingle, similarity)).distinct())
-    linked = table(components(links, "a", "b").distinct())
+    links = table(links.unionByName(_verified(first, rows, docs, text_col, shingle, similarity)).distinct(), n_rows)
+    linked = table(components(links, "a", "b").distinct(), n_rows)
     of_class = table(shared.select("h", "cls", "n", "at").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")).select("h", "cls", "n", "at", "root").distinct())
     open_ = of_class.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h")
     left = table(of_class.join(open_, "h", "left_semi"))
@@ -292,43 +292,46 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("the pairs of blocks find distances up to 2")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     if similarity is not None:
-        rows = _similar(docs, id_col, text_col, shingle, distance, cap, similarity)
-        roots = table(rows.groupBy("root").agg(F.min("id").alias("component_id")))
+        rows, n_rows = _similar(docs, id_col, text_col, shingle, distance, cap, similarity)
+        roots = table(rows.groupBy("root").agg(F.min("id").alias("component_id")), n_rows)
         return rows.join(roots, "root").select(F.col("id").alias(id_col), hexed, "component_id")
     rows = table(fingerprints(docs, id_col, text_col, shingle))
-    classes = table(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    n_rows = rows.count()
+    classes = table(rows.groupBy("fp").agg(F.min("id").alias("least")), n_rows)
     linked = components(_links(classes, distance, cap), "a", "b")
     placed = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    placed = table(placed)
-    roots = table(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_class = table(placed.join(roots, "root").select("fp", "component_id"))
+    placed = table(placed, n_rows)
+    roots = table(placed.groupBy("root").agg(F.min("least").alias("component_id")), n_rows)
+    of_class = table(placed.join(roots, "root").select("fp", "component_id"), n_rows)
     return rows.join(of_class, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, cap: int, similarity: float | None) -> DataFrame:
-    """id, sha, fp, root for each row; the root stands for the component. Without a similarity fingerprints are the classes."""
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, cap: int, similarity: float | None) -> tuple[DataFrame, int]:
+    """id, sha, fp, root for each row, and their number; the root stands for the component. Without a similarity fingerprints are the classes."""
     if similarity is not None and not 0 < similarity <= 1:
         raise ValueError("the similarity is above 0 and 1 at most")
-    rows = _classed(docs, id_col, text_col, shingle, similarity or 1.0)
-    rows = table(rows if similarity else rows.withColumn("cls", F.col("fp")))
-    classes = table(rows.groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")))
-    fps = table(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    n_rows = docs.count()
+    rows = _classed(docs, id_col, text_col, shingle, similarity or 1.0, n_rows)
+    rows = kept(rows if similarity else rows.withColumn("cls", F.col("fp")))
+    classes = table(rows.groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")), n_rows)
+    fps = table(classes.groupBy("fp").agg(F.min("cls").alias("least")), n_rows)
     equal = classes.join(fps, "fp").select(F.col("least").alias("a"), F.col("cls").alias("b")).filter("a <> b")
     of = lambda x: fps.select(F.col("fp").alias(x), F.col("least").alias(f"{x}cls"))
     close = _links(fps, distance, cap).join(of("a"), "a").join(of("b"), "b").select(F.col("acls").alias("a"), F.col("bcls").alias("b"))
     links = close.unionByName(equal)
     if similarity is not None:
-        links = _joined(links, rows, docs, text_col, shingle, similarity)
-    linked = table(components(links, "a", "b").distinct())
-    return table(rows.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("id", "sha", "fp", F.coalesce("component", "cls").alias("root")))
+        links = _joined(links, rows, docs, text_col, shingle, similarity, n_rows)
+    linked = table(components(links, "a", "b").distinct(), n_rows)
+    found = rows.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("id", "sha", "fp", F.coalesce("component", "cls").alias("root"))
+    return table(found, n_rows), n_rows
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """The documents with one of each group, the one with the smallest id (of its texts the one with the least hash), and all their columns."""
-    rows = _similar(docs, id_col, text_col, shingle, distance, CAP, similarity)
+    rows, n_rows = _similar(docs, id_col, text_col, shingle, distance, CAP, similarity)
     least = rows.groupBy("root", "id", "sha").agg(F.count(F.lit(1)).alias("rows")).groupBy("root")
-    kept = least.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "rows")).alias("of"))
-    return keep_rows(docs, kept.select("of.id", "of.sha", "of.rows"), id_col, whole(F.col(text_col)))
+    staying = least.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "rows")).alias("of"))
+    return keep_rows(docs, staying.select("of.id", "of.sha", "of.rows"), id_col, whole(F.col(text_col)), n_rows)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
