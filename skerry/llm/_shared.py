@@ -17,9 +17,11 @@ _kept: list[DataFrame] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none (as in tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session, whose tasks all run here, may do without: it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="skerry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -17,8 +17,8 @@ Inside roles ``\\ : # <`` become a backslash and a letter; inside texts ``\\``,
 backslash before them. So no text can open or close a turn, and ``read_back`` gives every turn exactly.
 
 Cases: null text or role counts as empty, a null kind as ``message``. Ties in seq fold in the order of kind,
-then text; messages with equal seq are ordered by role, then rendered text. A null conversation id is a conversation of its own; null seq comes first. Conversations without messages give no
-row. Extra columns are ignored. A conversation's formatted text is one value, so a conversation must fit in
+then text; messages with equal seq are ordered by role, then text. A null conversation id is a conversation of its own; null seq comes first. Conversations without messages give no
+row, an empty log none at all. Repeated events are events. Extra columns are ignored. A conversation's formatted text is one value, so a conversation must fit in
 an executor's memory; its turns are folded and rendered before they are brought together.
 """
 
@@ -66,7 +66,7 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, loss: the text, and for each of its turns whether it is under the loss mask."""
     turn = F.concat(F.lit(OPEN), _role_out(F.col("role")), F.lit(": "), F.regexp_replace("text", CONTROL, r"\\$1"), F.lit(CLOSE))
-    turns = messages.select("conv_id", F.struct("seq", "role", turn.alias("turn"), (F.col("role") == LEARNED).alias("loss")).alias("t"))
+    turns = messages.select("conv_id", F.struct("seq", "role", "text", turn.alias("turn"), (F.col("role") == LEARNED).alias("loss")).alias("t"))
     ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return ordered.select("conv_id", F.array_join("t.turn", "").alias("formatted"), F.col("t.loss").alias("loss"))
 

@@ -5,19 +5,19 @@ footers, sidebars, forms, scripts, styles, hidden parts, or in an element whose
 notice, an advert or comments, is left out. If the page marks its article (``article`` or ``main``) and text stands there,
 only that is considered.
 
-First pass: a block of mostly link characters (in a marked article, of hardly anything else) is bad; a block shorter than ``SHORT`` is ambiguous; a long
-block is good if enough of its words are stop words of some language, or if the page marks it as article; one with
-fewer stop words is ambiguous if it is in between, and bad below. Second pass: an ambiguous block takes the
-label that its nearest decided neighbours on both sides agree on, or that of the only one. If they differ, it is
-good inside a marked article, and elsewhere the nearer decides, good on a tie. With none at all it is good only
-inside a marked article.
+First pass: a block of mostly link characters is bad; a block of ``SHORT`` characters or more is good if enough of its
+words are stop words of some language; all others are ambiguous: short ones, and long ones with few stop words, such as tables.
+If no block of a page is good by its stop words, as in a language that isn't listed, its long blocks are. Second pass: an ambiguous
+block takes the label that its nearest decided neighbours on both sides agree on, or that of the only one. If they differ, it is
+good inside a marked article, and elsewhere the nearer decides, good on a tie. With none at all it is good only inside a marked
+article. The rules are the same inside a marked article and on pages that mark none.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by a line feed in page order.
 
-Cases: null or empty html gives an empty text. Unclosed and wrongly nested tags are closed by the nearest
+Cases: null or empty html gives an empty text; a very long page is one string, and every step over it is linear. Unclosed and wrongly nested tags are closed by the nearest
 enclosing element; a page cut off anywhere gives the text up to there. A ``<`` that opens no tag is text.
-Repeated rows give repeated results; extra columns are ignored.
+Repeated rows give repeated results, ties go to good. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._shared import in_batches, read, whole
 
 #: Characters below which a block is ambiguous; shares of stop words and of link characters.
-SHORT, STOP_HIGH, STOP_LOW, LINKS, ALL_LINKS = 70, 0.30, 0.15, 0.5, 0.9
+SHORT, STOP, LINKS = 70, 0.15, 0.5
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """the of and to in a is that it for was on are as with be by at this have from or had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than been its who now
@@ -156,22 +156,21 @@ class _Page:
                 return
 
 
-def _first_pass(text: str, links: int, article: bool) -> bool | None:
+def _first_pass(text: str, links: int) -> bool | None:
     """True: good, False: bad, None: ambiguous."""
-    if links > (ALL_LINKS if article else LINKS) * len(text.replace(" ", "")):
+    if links > LINKS * len(text.replace(" ", "")):
         return False
     if len(text) < SHORT:
         return None
-    if article:
-        return True
     words = WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    return True if density >= STOP_HIGH else None if density >= STOP_LOW else False
+    return True if sum(w in STOP_WORDS for w in words) >= STOP * max(1, len(words)) else None
 
 
 def classify(blocks: list[tuple[str, int, bool]]) -> list[bool]:
     """Whether each block is main text."""
-    first = [_first_pass(*b) for b in blocks]
+    first = [_first_pass(text, links) for text, links, _ in blocks]
+    if True not in first:
+        first = [True if label is None and len(text) >= SHORT else label for label, (text, _, _) in zip(first, blocks, strict=True)]
     before, after, last = [], [], None
     for i, label in enumerate(first):
         last = (i, label) if label is not None else last

@@ -19,7 +19,7 @@ so that equal strings always meet in one group, and only groups with something t
 
 ``keep="first"`` removes the bytes of later copies and keeps the first (by id, then position); ``keep="none"`` removes every copy.
 
-Cases: null text counts as empty. Texts below ``length`` bytes have no such string. Rows that repeat an id and its
+Cases: null text counts as empty; an empty table gives an empty result. A very long text is hashed in overlapping pieces. Texts below ``length`` bytes have no such string. Rows that repeat an id and its
 text are rows of their own, copies of each other (with ``keep="first"`` all of them count as the first); different
 texts may share an id. A null id comes first. Strings never cross documents. Extra columns are ignored.
 """
