@@ -18,7 +18,10 @@ are similar enough share one of the first n - ceil(similarity * n) + 1 in that o
 a shingle are the candidates and none is missed. At each shingle the neighbours in order of size, and each with
 the first, are verified before all others; what these links connect isn't compared again, so a large group of near
 copies costs what its rows cost. All other pairs at a shingle are compared unless their sizes and the shingle's
-places rule them out. A pair is first held against a bound: each set's hashes are counted by their last bits (a byte for
+places rule them out. At a shingle of more than ``CROWD`` classes neighbours in pseudo-random orders are verified next, in
+``ROUNDS`` rounds. What is still open there isn't made as rows: its classes are dealt into blocks of
+about ``LOT``, two blocks meet with the sketches of their classes, and only pairs within the bound leave the task.
+A pair is first held against a bound: each set's hashes are counted by their last bits (a byte for
 two to four hashes), and the sum of the lesser counts can't be below what the sets share. What passes is verified by the
 Jaccard similarity of the whole sets (of 64-bit hashes), which are made anew for these few texts only.
 
@@ -56,6 +59,10 @@ PAIRS = [(i, j) for i in range(BLOCKS) for j in range(i)]
 SAMPLED, OFTEN, MOST = 5000, 3, 50_000
 #: Texts (digests of 32 bytes) to be verified that are broadcast, at most; more are joined by a shuffle.
 BROADCAST = 200_000
+#: Classes at a shingle that are paired by a join, at most; and classes of a block beyond that, about.
+CROWD, LOT = 16, 1024
+#: Rounds of random neighbours in crowds before all their pairs, the orders of a round, and the parts of a crowd that are ordered apart.
+ROUNDS, ORDERS, DEALS = 2, 8, 4
 #: Rounding of products with the similarity.
 _TINY = 1e-6
 #: The rows of bits that are summed at a time.
@@ -251,16 +258,103 @@ def _joined(links: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, s
     near = [shared.filter((F.col(f"{x}cls") != F.col("cls")) & _fits(similarity, "", x)).select(F.least("cls", f"{x}cls").alias("a"), F.greatest("cls", f"{x}cls").alias("b")) for x in "lf"]
     first = table(near[0].unionByName(near[1]).distinct())
     links = table(links.unionByName(_verified(first, rows, docs, text_col, shingle, similarity)).distinct(), n_rows)
-    linked = table(components(links, "a", "b").distinct(), n_rows)
-    of_class = table(shared.select("h", "cls", "n", "at").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")).select("h", "cls", "n", "at", "root").distinct())
-    open_ = of_class.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h")
-    left = table(of_class.join(open_, "h", "left_semi"))
-    a, b = (left.select("h", *(F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "at", "root"))) for x in "ab")
+    left = _open(shared, links, n_rows)
+    crowds = left.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > CROWD).select("h")
+    crowd = table(left.drop("root").join(crowds, "h", "left_semi"))
+    for turn in range(ROUNDS):
+        mixed = Window.partitionBy("h", "deal").orderBy(F.xxhash64("cls", F.pmod("h", F.lit(ORDERS)), F.lit(turn)), "cls")
+        dealt = _rooted(crowd, links, n_rows).withColumn("deal", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(DEALS)))
+        met = dealt.withColumn("l", F.lag(F.struct("cls", "n", "at", "root")).over(mixed)).filter("l.root <> root")
+        met = met.select("cls", "n", "at", *(F.col(f"l.{c}").alias(f"l{c}") for c in ("cls", "n", "at"))).filter(_fits(similarity, "", "l"))
+        pairs = table(met.select(F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+        first = table(first.unionByName(pairs))
+        links = table(links.unionByName(_verified(pairs, rows, docs, text_col, shingle, similarity)), n_rows)
+    left = _open(shared, links, n_rows)
+    sizes = table(left.groupBy("h").agg(F.count(F.lit(1)).alias("many")))
+    few = left.join(sizes.filter(F.col("many") <= CROWD), "h", "left_semi")
+    a, b = (few.select("h", *(F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "at", "root"))) for x in "ab")
     rest = a.join(b, "h").filter((F.col("acls") < F.col("bcls")) & (F.col("aroot") != F.col("broot")) & _fits(similarity, "a", "b"))
-    pairs = table(rest.select(F.col("acls").alias("a"), F.col("bcls").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = rest.select(F.col("acls").alias("a"), F.col("bcls").alias("b")).unionByName(_crowded(left.join(sizes.filter(F.col("many") > CROWD), "h"), rows, similarity))
+    pairs = table(rest.distinct().join(first, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(pairs, rows, docs, text_col, shingle, similarity))
 
 
+def _lot(cls: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, sketches: list[bytes], similarity: float, across: bool) -> Iterator[tuple[int, int]]:
+    """The pairs of one shingle's classes, of different components (and blocks, with ``across``), that may be similar."""
+    order = np.lexsort((cls, n))
+    cls, n, at, root, block = (x[order] for x in (cls, n, at, root, block))
+    sketches = [np.frombuffer(sketches[i], dtype=np.uint8) for i in order]
+    wide = np.array([len(x) for x in sketches])
+    place, of_width = np.zeros(len(cls), dtype=np.int64), {}
+    for w in np.unique(wide[wide > 0]).tolist():
+        own = np.flatnonzero(wide == w)
+        place[own], of_width[w] = np.arange(len(own)), np.stack([sketches[i] for i in own])
+    ends = np.searchsorted(n, n / similarity + _TINY, side="right")
+    for i in range(len(cls) - 1):
+        j = np.arange(i + 1, ends[i])
+        need = similarity / (1 + similarity) * (n[i] + n[j]) - _TINY
+        j = j[(root[j] != root[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & ((block[j] != block[i]) | (not across))]
+        for w in np.unique(wide[j]).tolist():
+            these = j[wide[j] == w]
+            if w and wide[i]:
+                most, own = of_width[w][place[these]], sketches[i]
+                if w > len(own):
+                    most = most.reshape(len(these), -1, len(own)).sum(1, dtype=np.int64)
+                elif w < len(own):
+                    own = own.reshape(-1, w).sum(0, dtype=np.int64)
+                these = these[np.minimum(most, own).sum(1, dtype=np.int64) >= similarity / (1 + similarity) * (n[i] + n[these]) - _TINY]
+            yield from ((min(int(cls[i]), x), max(int(cls[i]), x)) for x in cls[these].tolist())
+
+
+def _crowded(left: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """left: h, cls, n, at, root, many. The pairs (a, b) at each shingle that may be similar, a block of its classes against a block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, []
+
+        def pairs() -> pa.RecordBatch:
+            lot = pa.Table.from_batches(parts)
+            cls, n, at, root, block = (lot.column(c).to_numpy() for c in ("cls", "n", "at", "root", "block"))
+            found = list(_lot(cls, n.astype(np.int64), at.astype(np.int64), root, block, lot.column("sketch").to_pylist(), similarity, group[1] != group[2]))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for b in batches:
+            keys = [b.column(c).to_numpy() for c in ("h", "low", "high")]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
+                if at == to:
+                    continue
+                key = tuple(int(k[at]) for k in keys)
+                if key != group and parts:
+                    yield pairs()
+                    parts = []
+                group = key
+                parts.append(b.slice(at, to - at))
+        if parts:
+            yield pairs()
+
+    sketches = rows.join(left.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.max("sketch").alias("sketch"))
+    blocks = F.ceil(F.col("many") / LOT).cast("int")
+    dealt = left.join(sketches, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    ordered = dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").select("h", "low", "high", "cls", "n", "at", "root", "block", "sketch")
+    return in_batches(ordered, run, "a long, b long")
+
+
+def _rooted(places: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:
+    """places (h, cls, n, at) with root, the component of the class."""
+    linked = table(components(links, "a", "b").distinct(), n_rows)
+    return places.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "at", F.coalesce("component", "cls").alias("root"))
+
+
+def _open(shared: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:
+    """h, cls, n, at, root: the classes at each shingle where several components meet."""
+    of_class = kept(_rooted(shared.select("h", "cls", "n", "at"), links, n_rows))
+    meeting = of_class.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h")
+    return table(of_class.join(meeting, "h", "left_semi").distinct())
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

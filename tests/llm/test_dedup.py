@@ -206,8 +206,11 @@ def shingles(t, k):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)} - {()}
 
 
-def test_all_similar_texts_are_linked(spark):
+@pytest.mark.parametrize("crowd,lot", [(32, 1024), (3, 7)])
+def test_all_similar_texts_are_linked(spark, monkeypatch, crowd, lot):
     """Large groups of near copies with boilerplate between them, against brute force: no pair is missed."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "LOT", lot)
     r = random.Random(8)
     word = lambda: f"w{r.randrange(5000)}"
     head, rows = [word() for _ in range(60)], [(1, None), (2, ""), (3, "a b")]
