@@ -71,26 +71,34 @@ def has_entity(c: Column) -> Column:
     return c.rlike("&[#A-Za-z]")
 
 
-@F.pandas_udf(StringType())
-def decode_with_fallback(bodies: pd.Series) -> pd.Series:
-    """Bytes with an XML declaration, read by the first charset of the list that fits; null without declaration."""
+_DECLARED = re.compile(rb"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._:-]+)["']""")
 
-    def one(body: bytes | None) -> str | None:
-        if body is None:
-            return None
-        if b"<?xml" not in body[:200] and not body[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            try:
-                return body.decode("utf-8")
-            except UnicodeDecodeError:
-                return None
-        for charset in CHARSETS:
-            try:
-                return body.decode(charset)
-            except (UnicodeDecodeError, LookupError):
-                continue
-        return None
 
-    return bodies.map(one)
+def charsets(body: bytes) -> list[str]:
+    """What to read bytes by, in order: what a byte order mark says, the declared charset, then the list; without any declaration UTF-8 only."""
+    if body.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return ["utf-16", *CHARSETS]
+    if not body.lstrip().startswith(b"<?xml"):
+        return [CHARSETS[0]]
+    declared = _DECLARED.match(body[:400])
+    named = declared[1].decode("ascii") if declared else CHARSETS[0]
+    return [*([] if named.lower().replace("_", "-") in ("utf-8", "utf8") else [named]), *CHARSETS]
+
+
+def read_bytes(body: bytes) -> str | None:
+    """The text by the first charset that is known and fits; null if none does."""
+    for charset in charsets(body):
+        try:
+            return body.decode(charset)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return None
+
+
+@F.pandas_udf(StringType())
+def decode_with_fallback(bodies: pd.Series) -> pd.Series:
+    """Bytes as text, by ``charsets``; null if no charset fits."""
+    return bodies.map(lambda body: None if body is None else read_bytes(bytes(body)))
 
 
 _TAG = re.compile(r"<[^>]*>")

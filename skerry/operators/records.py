@@ -79,8 +79,8 @@ def distinct_records(records: DataFrame) -> DataFrame:
 
 
 def latest(records: DataFrame, key: str = "oai", stamp: str = "datestamp") -> DataFrame:
-    """The last record of each identifier (an extension: the same record is harvested again whenever it changes)."""
-    order = Window.partitionBy(key).orderBy(F.desc(stamp))
+    """The last record of each identifier (an extension: the same record is harvested again whenever it changes); of equal stamps the greatest by all columns, in order."""
+    order = Window.partitionBy(key).orderBy(F.desc(stamp), *(F.desc(f.name) for f in records.schema.fields if "map<" not in f.dataType.simpleString()))
     return records.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
 
 

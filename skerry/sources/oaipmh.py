@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.protocol import RETRY_STATUS, VERBS
+from ..functions.text import read_bytes
 from .pages import decode, split_records
 
 SCHEMA = "endpoint string, verb string, set string, prefix string, from_date string, until_date string, page int, body string, code string, error string"
 CONTROL = re.compile("[\x00-\x09\x0b\x0c\x0e-\x1f�￾]")
-CHARSETS = ("utf-8", "iso-8859-1", "windows-1252", "utf-16", "us-ascii")
 #: Codes after which a page counts as empty and the chain ends.
 ENDS = ("noRecordsMatch", "badResumptionToken")
 WAIT = "InternalException"
@@ -101,13 +101,9 @@ def decompress(body: bytes) -> bytes:
 
 
 def to_text(body: bytes) -> str:
-    """By the first charset that fits; without an XML declaration only UTF-8 is tried."""
-    for charset in CHARSETS if body.lstrip().startswith((b"<?xml", b"\xff\xfe", b"\xfe\xff")) else CHARSETS[:1]:
-        try:
-            return body.decode(charset)
-        except UnicodeDecodeError:
-            continue
-    return body.decode("utf-8", "replace")
+    """By the byte order mark, the declared charset, or the first of the list that fits."""
+    text = read_bytes(body)
+    return body.decode("utf-8", "replace") if text is None else text
 
 
 def retriable(error: Exception) -> bool:

@@ -6,6 +6,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from skerry.functions import text
 from skerry.operators import records
 from skerry.sinks import pages as sink
 from skerry.sources import pages
@@ -111,3 +112,16 @@ def test_json_and_purge(spark, root, tmp_path):
     frame = spark.createDataFrame([("",), (None,), ('<a:x b="1">t<y/><y>z</y></a:x>',), ("<open>",)], "x string")
     assert [r[0] and json.loads(r[0]) for r in frame.select(xml_to_json("x")).collect()] == [{}, {}, {"x": {"-b": "1", "y": ["", "z"], "#text": "t"}}, None]
     assert sink.purge(spark, root) and not tmp_path.exists()
+
+
+def test_declared_charsets(spark):
+    page = lambda charset: f'<?xml version="1.0" encoding="{charset}"?><t>Привет</t>'
+    bodies = [page("windows-1251").encode("windows-1251"), page("UTF-16").encode("utf-16"), page("utf-8").encode(), page("no-such").encode(), page("us-ascii").encode(), b"\xff plain", None]
+    bodies.append('<?xml version="1.0" encoding="UTF-8"?><t>é</t>'.encode("latin-1"))
+    got = [r[0] for r in spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b binary").orderBy("i").select(text.decode_with_fallback("b")).collect()]
+    assert all("Привет" in x for x in got[:4]) and got[4] is not None and got[5] is None and got[6] is None and "é" in got[7]
+
+
+def test_latest_is_decided_on_ties(spark):
+    rows = spark.createDataFrame([("a", "2020", "x", {"k": "v"}), ("a", "2020", "z", None), ("a", "2019", "zz", None)], "oai string, datestamp string, title string, m map<string,string>")
+    assert [r["title"] for r in records.latest(rows).collect()] == ["z"]
