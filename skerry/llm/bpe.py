@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from ._shared import in_batches, read, whole
 
 #: Words of a generation that a task keeps with their ids.
-KEPT = 120_000
+KEPT = 250_000
 #: Positions of a rank from which they are merged as arrays.
 MANY = 16
 #: Characters of a block of texts, about.
