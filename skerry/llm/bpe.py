@@ -310,13 +310,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return in_batches(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)]))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256: encodes and decodes each text in one pass."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256: encodes and decodes each text in one pass. kept: words of a generation (memory against time only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for b in batches:
-            encoder = encoder or Digester(path, pattern)
+            encoder = encoder or Digester(path, pattern, kept)
             found = [encoder.digest(words) for texts in _blocks(b.column(1)) for words in encoder.split_all(texts)]
             counts, of_ids, of_text = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n", "i", "d"])
