@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of documents. A driver may write each stage's result and read it as the next one's docs, as
 ``run`` does in the shared folder.
+
+Cases, in every stage: a null text counts as empty and a null id or source as a value of its own; rows that repeat id and
+text are one after exact dedup; very long texts are whole; ties are broken by id, then by the text's hash; an empty table
+gives an empty table; other columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, kept=120_000)  # workers of the stages before still hold memory
 
 
 STAGES = [
