@@ -98,7 +98,7 @@ def last_date(files: DataFrame, default: str, col: str = "date") -> DataFrame:
 
 def sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows in an order that only the seed and the key decide."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *key)), *key).limit(n)
 
 
 def first_non_empty(rows: DataFrame, col: str) -> DataFrame:

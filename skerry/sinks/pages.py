@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,35 +121,79 @@ def pack_statistics(files: DataFrame, least: int = 3) -> DataFrame:
     return found.withColumn("packed", packed).withColumn("saved", F.when(packed, (F.col("files") - 1) * FILE_COST).otherwise(F.lit(0)))
 
 
+def _opened(path: str):
+    """File system and path on it of a Hadoop path, for tasks: local disks, HDFS and S3."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", path)))
+
+
+def _concatenate(target: str, sources: list[str], attempt: str) -> None:
+    """All sources into <target>-packed, which is there as a whole or not at all."""
+    system, path = _opened(target)
+    aside = f"{path}-tmp-{attempt}"
+    with system.open_output_stream(aside, compression=None) as out:
+        for source in sources:
+            with system.open_input_stream(_opened(source)[1], compression=None) as part:
+                while body := part.read(1 << 22):
+                    out.write(body)
+    system.move(aside, f"{path}-packed")
+
+
+def _settle(target: str, sources: list[str], attempt: str) -> None:
+    """<target>-packed takes its place and the other sources go; a repeated call finds less to do."""
+    from pyarrow import fs
+
+    system, path = _opened(target)
+    there = lambda p: system.get_file_info(p).type != fs.FileType.NotFound
+    if there(f"{path}-packed"):
+        if there(path):
+            system.delete_file(path)
+        system.move(f"{path}-packed", path)
+    for source in sources:
+        other = _opened(source)[1]
+        if other != path and there(other):
+            system.delete_file(other)
+
+
+def _in_tasks(plan: DataFrame, action: Callable[[str, list[str], str], None]) -> None:
+    """``action`` for each row (target, sources) of the plan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        attempt = str(TaskContext.get().taskAttemptId())
+        for b in batches:
+            for row in b.to_pylist():
+                action(row["target"], row["sources"], attempt)
+            yield b.select(["target"])
+
+    n = plan.sparkSession.sparkContext.defaultParallelism * 4
+    plan.repartition(n, "target").mapInArrow(run, "target string").write.format("noop").mode("overwrite").save()
+
+
 def pack(spark: SparkSession, root: str, least: int = 3, dry_run: bool = False) -> DataFrame:
     """Byte-concatenate each directory's files into its latest one; members of gzip and frames of zstd read as one.
 
-    The concatenation is written aside by tasks that stream the files of one directory, then put in place.
+    Tasks stream the files of a directory each, in two steps: all packed files are written aside first, then put in
+    place. A task that runs again does no harm in either step. If the application ends between the steps, nothing has
+    changed but files aside; if it ends within the second, a directory may hold records twice, but loses none.
     """
+    from .. import config
     from ..sources.pages import page_files
 
     files = page_files(spark, root)
     stats = pack_statistics(files, least)
     if dry_run:
         return stats
-    stats = spark.createDataFrame(stats.collect(), stats.schema)  # a row for each directory of this run
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    for row in pack_plan(files, least).groupBy("target").agg(F.sort_array(F.collect_list(F.struct("nth", "path"))).alias("of")).toLocalIterator():
-        aside = path(row["target"] + "-tmp")
-        out = fs.create(aside, True)
-        for _, source in row["of"]:
-            stream = fs.open(path(source))
-            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
-            stream.close()
-        out.close()
-        fs.delete(path(row["target"]), False)
-        fs.rename(aside, path(row["target"]))
-        for _, source in row["of"]:
-            if source != row["target"]:
-                fs.delete(path(source), False)
-    return stats
+    kept = config.workspace(spark)  # what was planned must not change with the listing
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"])
+    pack_plan(files, least).groupBy("target").agg(ordered.alias("sources")).write.parquet(f"{kept}/plan")
+    stats.write.parquet(f"{kept}/stats")
+    plan = spark.read.parquet(f"{kept}/plan")
+    for action in (_concatenate, _settle):
+        _in_tasks(plan, action)
+    return spark.read.parquet(f"{kept}/stats")
 
 
 def recompress(contents: DataFrame, least: int = 20) -> DataFrame:

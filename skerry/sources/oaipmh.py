@@ -6,9 +6,13 @@ DataFrame operations. As a stream the offset is a day: what was harvested up to
 again, a day without records moves the offset like any other, and the checkpoint keeps the state.
 
 TLS certificates are verified. Options (strings): url (comma-separated), verb, prefix, set, from, until, unit
-(none, month, day, hour), max_requests and max_empty (0: no limit), retries, delay, backoff, timeout, rate
-(bytes a second, over all partitions), max_bytes, ignore_http_errors, ignore_unexpected_eof, suppress_format,
-headers (JSON), user, password, clean, today (for tests).
+(none, month, day, hour), max_requests, max_empty and max_waits (0: no limit), retries, delay, backoff, timeout,
+rate (bytes a second, over all partitions), parallel (how many partitions run at once at most, if that is known;
+the rate is shared among so many), max_bytes, ignore_http_errors, ignore_unexpected_eof, suppress_format, headers
+(JSON), user, password, clean, today (for tests).
+
+Without ``from`` a harvest by intervals begins where the endpoint's Identify says that its records do, and an
+endpoint that knows days only is asked by days instead of hours. A stream begins at the earliest of its endpoints.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 from xml.etree import ElementTree
@@ -41,6 +46,7 @@ CONTROL = re.compile("[\x00-\x09\x0b\x0c\x0e-\x1f�
 #: Codes after which a page counts as empty and the chain ends.
 ENDS = ("noRecordsMatch", "badResumptionToken")
 WAIT = "InternalException"
+GRANULARITIES = ("yyyy-mm-dd", "yyyy-mm-ddthh:mm:ssz")
 
 
 class ProtocolError(Exception):
@@ -49,9 +55,13 @@ class ProtocolError(Exception):
 
 @dataclass
 class Chain(InputPartition):
+    """``share``: how many chains share the rate; ``plain``: the endpoint's answers must come uncompressed."""
+
     endpoint: str
     from_date: str
     until_date: str
+    share: int = 1
+    plain: bool = False
 
 
 @dataclass
@@ -148,6 +158,13 @@ class Client:
             self.headers["Authorization"] = "Basic " + base64.b64encode(f"{options['user']}:{options.get('password', '')}".encode()).decode()
         self.clean = options.get("clean", "true") == "true"
 
+    @classmethod
+    def of(cls, options: dict[str, str], chain: Chain) -> Client:
+        client = cls(options, chain.share)
+        if chain.plain:
+            client.headers["Accept-Encoding"] = "identity"
+        return client
+
     def once(self, url: str) -> str:
         request = urllib.request.Request(url, headers=self.headers)
         with urllib.request.urlopen(request, timeout=self.timeout) as response:
@@ -215,7 +232,8 @@ def pages(client: Client, options: dict[str, str], chain: Chain, wait: float = 3
     """The pages of a chain: until there is no token or the same one again, or a limit is reached, or an error ends it."""
     fixed = Offset(options.get("verb", "ListRecords"), options.get("prefix", "oai_dc"), options.get("set", ""), options.get("identifier", ""), options.get("suppress_format", "false") == "true")
     most, most_empty = int(options.get("max_requests", 1048576)), int(options.get("max_empty", 10))
-    token, requests, empty = "", 0, 0
+    most_waits = int(options.get("max_waits", 120))
+    token, requests, empty, waits = "", 0, 0, 0
     row = lambda n, body, code="", error="": (chain.endpoint, fixed.verb, fixed.set, fixed.prefix, chain.from_date, chain.until_date, n, body, code, error)
     while not most or requests < most:
         requests += 1
@@ -232,7 +250,8 @@ def pages(client: Client, options: dict[str, str], chain: Chain, wait: float = 3
             yield row(requests, None, "HTTP", str(error))
             return
         page = look(body)
-        if page.code == WAIT:
+        if page.code == WAIT and (not most_waits or waits < most_waits):
+            waits += 1
             sleep(wait)
             continue
         yield row(requests, body, page.code, page.message)  # an empty page too: it shows that the interval was asked for
@@ -265,6 +284,46 @@ def _endpoints(options) -> list[str]:
     return [u if u.startswith("http") else f"http://{u}" for u in map(str.strip, options.get("url", "").split(",")) if u]
 
 
+@dataclass
+class Start:
+    endpoint: str
+    day: str
+    hours: bool
+    plain: bool
+
+
+def _starts(options) -> list[Start]:
+    """Where each endpoint's harvest by intervals begins; who doesn't answer fails, or is left out on request."""
+    endpoints = _endpoints(options)
+    if options.get("from"):
+        return [Start(e, options["from"], True, False) for e in endpoints]
+
+    def ask(endpoint: str) -> Start | None:
+        client = Client(options)
+        try:
+            body = client.identify(endpoint)
+        except (OSError, EOFError, http.client.HTTPException):
+            if options.get("ignore_http_errors", "false") != "true":
+                raise
+            return None
+        said = lambda tag: (re.search(rf"<{tag}[^>]*>\s*([^<]*?)\s*</{tag}>", body) or ["", ""])[1]
+        day, granularity = said("earliestDatestamp")[:10], said("granularity").lower()
+        if granularity not in GRANULARITIES or not re.fullmatch(r"\d{4}-\d\d-\d\d", day):
+            raise ProtocolError(f"invalid earliest date: {endpoint}")
+        return Start(endpoint, day, granularity != GRANULARITIES[0], client.headers["Accept-Encoding"] == "identity")
+
+    with ThreadPoolExecutor(16) as pool:
+        return [s for s in pool.map(ask, endpoints) if s]
+
+
+def _sharing(chains: list[Chain], options) -> list[InputPartition]:
+    """The chains, each with its part of the rate: all may run at once, unless ``parallel`` says how many do."""
+    share = min(len(chains), int(options.get("parallel") or len(chains)))
+    for chain in chains:
+        chain.share = max(1, share)
+    return chains
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -272,18 +331,23 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         o, unit = self.options, self.options.get("unit", "none")
         ranged = o.get("verb", "ListRecords") in ("ListRecords", "ListIdentifiers")
-        if not ranged or unit == "none" or not o.get("from"):
-            return [Chain(e, o.get("from", "") if ranged else "", o.get("until", "") if ranged else "") for e in _endpoints(o)]
+        if not ranged or unit == "none":
+            return _sharing([Chain(e, o.get("from", "") if ranged else "", o.get("until", "") if ranged else "") for e in _endpoints(o)], o)
         last = date.fromisoformat(o["until"]) if o.get("until") else _today(o) - timedelta(days=1)
-        if unit == "hour":
-            first = datetime.fromisoformat(o["from"])
-            hours = int((datetime.combine(last, datetime.min.time()) + timedelta(days=1) - first).total_seconds() // 3600)
-            stamps = [first + timedelta(hours=h) for h in range(max(0, hours))]
-            return [Chain(e, f"{s:%Y-%m-%dT%H:%M:%SZ}", f"{s + timedelta(minutes=59, seconds=59):%Y-%m-%dT%H:%M:%SZ}") for e in _endpoints(o) for s in stamps]
-        return [Chain(e, a, b) for e in _endpoints(o) for a, b in _days(date.fromisoformat(o["from"]), last, unit)]
+        chains = []
+        for start in _starts(o):
+            if unit == "hour" and start.hours:
+                first = datetime.fromisoformat(start.day)
+                hours = int((datetime.combine(last, datetime.min.time()) + timedelta(days=1) - first).total_seconds() // 3600)
+                stamps = (first + timedelta(hours=h) for h in range(max(0, hours)))
+                spans = ((f"{s:%Y-%m-%dT%H:%M:%SZ}", f"{s + timedelta(minutes=59, seconds=59):%Y-%m-%dT%H:%M:%SZ}") for s in stamps)
+            else:
+                spans = _days(date.fromisoformat(start.day[:10]), last, "day" if unit == "hour" else unit)
+            chains += [Chain(start.endpoint, a, b, plain=start.plain) for a, b in spans]
+        return _sharing(chains, o)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return pages(Client(self.options, int(self.options.get("parallel", 1))), self.options, partition)
+        return pages(Client.of(self.options, partition), self.options, partition)
 
 
 class _Stream(DataSourceStreamReader):
@@ -293,7 +357,7 @@ class _Stream(DataSourceStreamReader):
         self.options = options
 
     def initialOffset(self) -> dict:
-        return {"next": self.options.get("from") or "1970-01-01"}
+        return {"next": min((s.day for s in _starts(self.options)), default="1970-01-01")}
 
     def latestOffset(self) -> dict:
         last = self.options.get("until")
@@ -301,10 +365,10 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         first, last = date.fromisoformat(start["next"]), date.fromisoformat(end["next"]) - timedelta(days=1)
-        return [Chain(e, a, b) for e in _endpoints(self.options) for a, b in _days(first, last, self.options.get("unit", "month"))]
+        return _sharing([Chain(e, a, b) for e in _endpoints(self.options) for a, b in _days(first, last, self.options.get("unit", "month"))], self.options)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return pages(Client(self.options, int(self.options.get("parallel", 1))), self.options, partition)
+        return pages(Client.of(self.options, partition), self.options, partition)
 
     def commit(self, end: dict) -> None:
         """Nothing to tell the endpoint: the checkpoint holds the offset."""

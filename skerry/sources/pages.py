@@ -1,7 +1,8 @@
 """Cached response pages: files named <date>-<serial>.xml.gz or .zst, in a directory per set, format and endpoint.
 
-Records are cut out by the reader itself: the end tag of a record is the line separator, so a file is streamed
-record by record however large it is, and files of several documents (packed ones) lose nothing.
+The reader's line separator is the end tag of a response's list, so a file is streamed response by response
+however many it holds, and files of several documents (packed ones) lose nothing. Records are cut out of a
+response where their tags balance: a payload may hold ``record`` elements of its own, as MARCXML does.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from ..functions.protocol import directory_parts, page_date
 from ..schemas import RECORD
 
 SUFFIXES = "*.xml.{gz,zst}"
-END = "</record>"
+END = "</ListRecords>"
+#: Levels of elements of one name within each other that a cut keeps together.
+NESTED = 4
 #: Entities that XML knows; others are kept as text.
 _UNKNOWN = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
 
@@ -40,18 +43,35 @@ def find_endpoints(known: DataFrame, fragment: str) -> DataFrame:
     return known.filter(F.contains("url", F.lit(fragment))).select("url").distinct()
 
 
+def _balanced(tag: str, levels: int) -> str:
+    """Pattern of an element with its end tag, ``levels`` of its own name inside. All loops are possessive: Java
+    runs these without recursion, and none goes back."""
+    start, end = rf"<{tag}(?:\s[^>]*+)?+(?<!/)>", rf"</{tag}\s*+>"
+    empty = rf"<{tag}(?:\s[^>]*+|/)>(?<=/>)"
+    other = rf"[^<]*+(?:(?:<!\[CDATA\[.*?\]\]>|<!--.*?-->|{empty}|<(?!/?{tag}[\s>/]))[^<]*+)*+"
+    if not levels:
+        return rf"{start}{other}{end}"
+    return rf"{start}{other}(?:{_balanced(tag, levels - 1)}{other})*+{end}"
+
+
+def split_elements(text: Column, tag: str, levels: int = NESTED) -> Column:
+    """All outermost elements of a name in a text, at any depth, however many documents it holds. Elements of the
+    same name inside, up to ``levels`` deep, stay part of the outer one; tags in comments and CDATA don't count."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)({_balanced(tag, levels)})"), F.lit(1))
+
+
 def split_records(text: Column) -> Column:
     """All records of a text, however many documents it holds."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)(<record[ >].*?</record>)"), F.lit(1))
+    return split_elements(text, "record")
 
 
 def raw_records(spark: SparkSession, root: str, from_: str = "") -> DataFrame:
-    """xml, path, name of each record; files whose name is before ``from_`` aren't opened."""
+    """xml, path, name of each record; files whose name is before ``from_`` aren't opened. A response is one value."""
     files = spark.read.option("lineSep", END).option("pathGlobFilter", SUFFIXES).option("recursiveFileLookup", "true").text(root)
-    found = files.select(F.regexp_extract("value", r"(?s)(<record[ >].*)", 1).alias("xml"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
+    found = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
     if from_:
         found = found.filter(F.col("name") >= from_)
-    return found.filter("xml <> ''").withColumn("xml", F.concat("xml", F.lit(END)))
+    return found.select(F.explode(split_records(F.col("value"))).alias("xml"), "path", "name")
 
 
 def decode(raw: DataFrame, xml: str = "xml") -> DataFrame:
@@ -72,16 +92,27 @@ def decode(raw: DataFrame, xml: str = "xml") -> DataFrame:
     )
 
 
+def _within(stamp: Column, from_: str, until: str, whole_day: bool) -> Column:
+    low = stamp >= from_ if from_ else F.lit(True)
+    if not until:
+        return low
+    return low & (F.left(stamp, F.lit(len(until))) <= until if whole_day else stamp <= until)
+
+
 def in_range(records: DataFrame, from_: str = "", until: str = "", whole_day: bool = False) -> DataFrame:
     """Records by datestamp, compared as strings; with ``whole_day`` a day as upper bound holds all of its times."""
-    stamp = F.col("header.datestamp")
-    if from_:
-        records = records.filter(stamp >= from_)
-    if until:
-        records = records.filter(F.left(stamp, F.lit(len(until))) <= until if whole_day else stamp <= until)
-    return records
+    return records.filter(_within(F.col("header.datestamp"), from_, until, whole_day)) if from_ or until else records
+
+
+def maybe_in_range(raw: DataFrame, from_: str = "", until: str = "", whole_day: bool = False, xml: str = "xml") -> DataFrame:
+    """Unparsed records without those whose header, in its usual form, shows a datestamp outside the range."""
+    if not (from_ or until):
+        return raw
+    stamp = F.regexp_extract(xml, r"^<record[^>]*+>\s*+<header[^>]*+>\s*+(?:<identifier>[^<]*+</identifier>\s*+)?+<datestamp>([^<&]++)</datestamp>", 1)
+    return raw.filter((stamp == "") | _within(stamp, from_, until, whole_day))
 
 
 def read_pages(spark: SparkSession, root: str, from_: str = "", until: str = "", whole_day: bool = False) -> DataFrame:
-    """The records of a harvest's pages: pruned by file name, cut, parsed, filtered by datestamp."""
-    return in_range(decode(raw_records(spark, root, from_)), from_, until, whole_day)
+    """The records of a harvest's pages: pruned by file name, cut, dropped by the header's text, parsed, filtered."""
+    raw = maybe_in_range(raw_records(spark, root, from_), from_, until, whole_day)
+    return in_range(decode(raw), from_, until, whole_day)

@@ -38,6 +38,10 @@ class Handler(http.server.BaseHTTPRequestHandler):
             status = 404
         elif self.path.startswith("/same"):
             body = reply("ListRecords", rec(1) + "<resumptionToken>again</resumptionToken>")
+        elif self.path.startswith("/plain") and self.headers["Accept-Encoding"] != "identity":
+            status = 500
+        elif self.path.startswith("/wait"):
+            body = '<?xml version="1.0"?><OAI-PMH><error code="InternalException">later</error></OAI-PMH>'
         elif self.path.startswith("/empty"):
             body = reply("ListRecords", f"<resumptionToken>n{len(self.server.seen)}</resumptionToken>")
         elif verb == "Identify":
@@ -100,6 +104,41 @@ def test_intervals_are_partitions(spark, server):
     assert found.count() == 9
 
 
+def test_identify_tells_where_intervals_begin(spark, server):
+    found = load(spark, server, unit="day", until="2020-01-03").select("from_date", "page").collect()
+    assert {r["from_date"] for r in found} == {"2020-01-01", "2020-01-02", "2020-01-03"}
+    hours = load(spark, server, unit="hour", until="2020-01-02").select("from_date").distinct().collect()
+    assert sorted(r[0] for r in hours) == ["2020-01-01", "2020-01-02"]  # it knows days only
+    assert oaipmh._Stream({"url": f"{server.url}/oai"}).initialOffset() == {"next": "2020-01-01"}
+    gone = {"url": f"{server.url}/gone,{server.url}/oai", "unit": "day", "until": "2020-01-02", "ignore_http_errors": "true"}
+    assert [p.from_date for p in oaipmh._Reader(gone).partitions()] == ["2020-01-01", "2020-01-02"]
+    with pytest.raises(urllib.error.HTTPError):
+        oaipmh._Reader(gone | {"ignore_http_errors": "false"}).partitions()
+
+
+def test_answers_that_must_be_plain(server):
+    options = {"url": f"{server.url}/plain", "unit": "day", "until": "2020-01-01", "retries": "0"}
+    (only,) = oaipmh._Reader(options).partitions()
+    assert only.plain and oaipmh.Client.of(options, only).headers["Accept-Encoding"] == "identity"
+
+
+def test_rate_is_shared_among_partitions():
+    options = {"url": "a.org,b.org", "unit": "day", "from": "2020-01-01", "until": "2020-01-03", "rate": "600"}
+    chains = oaipmh._Reader(options).partitions()
+    assert len(chains) == 6 and {oaipmh.Client.of(options, c).throttle.rate for c in chains} == {100.0}
+    few = options | {"parallel": "2"}
+    assert {oaipmh.Client.of(few, c).throttle.rate for c in oaipmh._Reader(few).partitions()} == {300.0}
+    stream = oaipmh._Stream(options).partitions({"next": "2020-01-01"}, {"next": "2020-01-04"})
+    assert {c.share for c in stream} == {len(stream)}
+
+
+def test_waits_are_bounded(server):
+    waits = []
+    options = {"delay": "0.01", "max_waits": "3"}
+    got = list(pages(Client(options), options, Chain(server.url + "/wait", "", ""), sleep=waits.append))
+    assert len(waits) == 3 and [r[8] for r in got] == ["InternalException"]
+
+
 def chain(server, path, client=None, **options):
     options = {"delay": "0.01", "retries": "3"} | options
     return list(pages(client or Client(options), options, Chain(server.url + path, "", ""), wait=0.01))

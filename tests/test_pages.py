@@ -54,6 +54,52 @@ def test_packed_files_lose_nothing(spark, tmp_path):
     assert titles(pages.read_pages(spark, root)) == ["t0", "t1", "t2", "t3"]
 
 
+def marc(identifier, inner):
+    return f"<record><header><identifier>{identifier}</identifier><datestamp>2023-01-01</datestamp></header><metadata>{inner}</metadata></record>"
+
+
+def test_payloads_with_records(spark, tmp_path):
+    inside = {
+        "a": '<record xmlns="http://www.loc.gov/MARC21/slim"><leader>x</leader></record>',
+        "b": "<record><record>y</record><record/><record a='1'/></record><recordInfo>z</recordInfo>",
+        "c": "<![CDATA[<record>]]><!-- </record> --><dc><title>t</title></dc>",
+        "d": "<r>" + "<record>" * 4 + "</record>" * 4 + "</r>",
+        "e": "<dc><title>" + "long " * 200_000 + "</title></dc>",
+    }
+    body = page(*(marc(k, v) + "\n" for k, v in inside.items()))
+    (tmp_path / "2023-01-01-00000001.xml.gz").write_bytes(gzip.compress(body.encode()) + gzip.compress(page(marc("f", "<record>g</record>")).encode()))
+    found = {r["id"]: r for r in pages.read_pages(spark, f"file://{tmp_path}").select(F.col("header.identifier").alias("id"), "metadata_xml", "corrupt").collect()}
+    assert {k: r["metadata_xml"] for k, r in found.items()} == inside | {"f": "<record>g</record>"}
+    assert not any(r["corrupt"] for r in found.values())
+
+
+def test_elements_of_any_name(spark):
+    frame = spark.createDataFrame([("<x><s><t>1<t>2</t></t></s><t/><t>3</t><tt>4</tt><t>open",), (None,), ("",)], "x string")
+    assert [r[0] for r in frame.select(pages.split_elements(F.col("x"), "t")).collect()] == [["<t>1<t>2</t></t>", "<t>3</t>"], None, []]
+
+
+def test_dates_are_dropped_before_parsing(spark):
+    odd = "<record><header><datestamp>2023-02-01</datestamp><identifier>c</identifier></header></record>"
+    bare = "<record><metadata><datestamp>1999-01-01</datestamp></metadata></record>"
+    raw = spark.createDataFrame([(record("a", "2023-01-01", "t"),), (record("b", "2023-02-01T10:00:00Z", "t"),), (odd,), (bare,)], "xml string")
+    assert pages.maybe_in_range(raw, "2023-01-15").count() == 3
+    assert pages.maybe_in_range(raw, until="2023-02-01").count() == 3
+    assert pages.maybe_in_range(raw, until="2023-02-01", whole_day=True).count() == 4
+    assert pages.maybe_in_range(raw).count() == 4
+
+
+def test_packing_again_does_no_harm(tmp_path):
+    names = [str(tmp_path / f"{n}.xml.gz") for n in "abc"]
+    for n in names:
+        (tmp_path / n).write_bytes(gzip.compress(n[-8:].encode()))
+    sink._concatenate(names[-1], names, "1")
+    sink._concatenate(names[-1], names, "2")
+    for _ in range(2):
+        sink._settle(f"file:{names[-1]}", [f"file:{n}" for n in names], "3")
+    assert [p.name for p in tmp_path.iterdir()] == ["c.xml.gz"]
+    assert gzip.decompress((tmp_path / "c.xml.gz").read_bytes()) == b"a.xml.gzb.xml.gzc.xml.gz"
+
+
 def test_robustness(spark, tmp_path):
     text = page(record("a", "2023-01-31", "x&nbsp;y"), record("b", "2023-01-31T10:00:00Z", "  two  "), record("c", "2023-01-30", "", "deleted"), "<record><broken></record>")
     (tmp_path / "2023-01-31-00000001.xml.gz").write_bytes(gzip.compress(text.encode()))
