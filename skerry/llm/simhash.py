@@ -18,10 +18,12 @@ are similar enough share one of the first n - ceil(similarity * n) + 1 in that o
 a shingle are the candidates and none is missed. At each shingle the neighbours in order of size, and each with
 the first, are verified before all others; what these links connect isn't compared again, so a large group of near
 copies costs what its rows cost. All other pairs at a shingle are compared unless their sizes and the shingle's
-places rule them out. At a shingle of more than ``CROWD`` classes neighbours in pseudo-random orders are verified next, in
-``ROUNDS`` rounds. What is still open there isn't made as rows: its classes are dealt into blocks of
-about ``LOT``, two blocks meet with the sketches of their classes, and only pairs within the bound leave the task.
-A pair is first held against a bound: each set's hashes are counted by their last bits (a byte for
+places rule them out. At a shingle of more than ``CROWD`` classes no pair is made as a row: its classes are dealt into blocks of
+about ``LOT`` classes and ``HASHES`` hashes, and two blocks meet twice: with the sketches of their classes, after which
+those that have a pair within the bound stay, and with the whole sets of these, where similar
+ones are joined as they are found and only the links that connected something
+leave the task, fewer than its classes. What is then still open at other shingles is paired by a join.
+A pair is always first held against a bound: each set's hashes are counted by their last bits (a byte for
 two to four hashes), and the sum of the lesser counts can't be below what the sets share. What passes is verified by the
 Jaccard similarity of the whole sets (of 64-bit hashes), which are made anew for these few texts only.
 
@@ -59,10 +61,8 @@ PAIRS = [(i, j) for i in range(BLOCKS) for j in range(i)]
 SAMPLED, OFTEN, MOST = 5000, 3, 50_000
 #: Texts (digests of 32 bytes) to be verified that are broadcast, at most; more are joined by a shuffle.
 BROADCAST = 200_000
-#: Classes at a shingle that are paired by a join, at most; and classes of a block beyond that, about.
-CROWD, LOT = 16, 1024
-#: Rounds of random neighbours in crowds before all their pairs, the orders of a round, and the parts of a crowd that are ordered apart.
-ROUNDS, ORDERS, DEALS = 2, 8, 4
+#: Classes at a shingle that are paired by a join, at most; and classes and hashes of a block beyond that, about.
+CROWD, LOT, HASHES = 16, 1024, 1 << 19
 #: Rounding of products with the similarity.
 _TINY = 1e-6
 #: The rows of bits that are summed at a time.
@@ -214,14 +214,8 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets have the similarity or more."""
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(k).to_pylist() for k in (2, 3))
-            fits = [_at_most(p["sketch"], q["sketch"]) * (1 + similarity) >= similarity * (p["n"] + q["n"]) - _TINY for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+def _sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """cls, v: the whole sets of the classes in ``wanted`` (cls), each made anew from one text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,14 +225,26 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str,
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["cls", "v"])
 
-    sketches = rows.join(_wanted(pairs), "cls", "left_semi").groupBy("cls").agg(F.max(F.struct("n", "sketch")).alias("v"))
-    left = table(in_batches(_both(pairs, sketches), possible, "a long, b long"))
-    shas = rows.select("cls", "sha").join(_wanted(left), "cls", "left_semi").groupBy("cls").agg(F.min(F.hex("sha")).alias("sha")).select("cls", F.unhex("sha").alias("sha"))
+    shas = rows.select("cls", "sha").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.hex("sha")).alias("sha")).select("cls", F.unhex("sha").alias("sha"))
     shas = table(shas)
     if shas.count() <= BROADCAST:
         shas = F.broadcast(shas)
     texts = _texts(docs.select(F.col(text_col).alias("_text")), "_text").select("sha", "t").join(shas, "sha").select("cls", "t")
-    found = table(in_batches(texts, sets, "cls long, v array<long>").dropDuplicates(["cls"]))
+    return table(in_batches(texts, sets, "cls long, v array<long>").dropDuplicates(["cls"]))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets have the similarity or more."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(k).to_pylist() for k in (2, 3))
+            fits = [_at_most(p["sketch"], q["sketch"]) * (1 + similarity) >= similarity * (p["n"] + q["n"]) - _TINY for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    sketches = rows.join(_wanted(pairs), "cls", "left_semi").groupBy("cls").agg(F.max(F.struct("n", "sketch")).alias("v"))
+    left = table(in_batches(_both(pairs, sketches), possible, "a long, b long"))
+    found = _sets(_wanted(left), rows, docs, text_col, shingle)
     return _both(left, found).filter(F.size(F.array_intersect("va", "vb")) * (1 + similarity) >= similarity * (F.size("va") + F.size("vb")) - _TINY).select("a", "b")
 
 
@@ -259,41 +265,36 @@ def _joined(links: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, s
     first = table(near[0].unionByName(near[1]).distinct())
     links = table(links.unionByName(_verified(first, rows, docs, text_col, shingle, similarity)).distinct(), n_rows)
     left = _open(shared, links, n_rows)
-    crowds = left.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > CROWD).select("h")
-    crowd = table(left.drop("root").join(crowds, "h", "left_semi"))
-    for turn in range(ROUNDS):
-        mixed = Window.partitionBy("h", "deal").orderBy(F.xxhash64("cls", F.pmod("h", F.lit(ORDERS)), F.lit(turn)), "cls")
-        dealt = _rooted(crowd, links, n_rows).withColumn("deal", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(DEALS)))
-        met = dealt.withColumn("l", F.lag(F.struct("cls", "n", "at", "root")).over(mixed)).filter("l.root <> root")
-        met = met.select("cls", "n", "at", *(F.col(f"l.{c}").alias(f"l{c}") for c in ("cls", "n", "at"))).filter(_fits(similarity, "", "l"))
-        pairs = table(met.select(F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-        first = table(first.unionByName(pairs))
-        links = table(links.unionByName(_verified(pairs, rows, docs, text_col, shingle, similarity)), n_rows)
-    left = _open(shared, links, n_rows)
-    sizes = table(left.groupBy("h").agg(F.count(F.lit(1)).alias("many")))
-    few = left.join(sizes.filter(F.col("many") <= CROWD), "h", "left_semi")
+    sizes = left.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("hashes"))
+    sizes = table(sizes.filter(F.col("many") > CROWD), n_rows)
+    links = table(links.unionByName(_crowded(left.join(sizes, "h"), rows, docs, text_col, shingle, similarity)).distinct(), n_rows)
+    few = _rooted(left.join(sizes, "h", "left_anti").drop("root"), links, n_rows)
     a, b = (few.select("h", *(F.col(c).alias(f"{x}{c}") for c in ("cls", "n", "at", "root"))) for x in "ab")
     rest = a.join(b, "h").filter((F.col("acls") < F.col("bcls")) & (F.col("aroot") != F.col("broot")) & _fits(similarity, "a", "b"))
-    rest = rest.select(F.col("acls").alias("a"), F.col("bcls").alias("b")).unionByName(_crowded(left.join(sizes.filter(F.col("many") > CROWD), "h"), rows, similarity))
-    pairs = table(rest.distinct().join(first, ["a", "b"], "left_anti"))
+    pairs = table(rest.select(F.col("acls").alias("a"), F.col("bcls").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(pairs, rows, docs, text_col, shingle, similarity))
 
 
-def _lot(cls: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, sketches: list[bytes], similarity: float, across: bool) -> Iterator[tuple[int, int]]:
-    """The pairs of one shingle's classes, of different components (and blocks, with ``across``), that may be similar."""
-    order = np.lexsort((cls, n))
-    cls, n, at, root, block = (x[order] for x in (cls, n, at, root, block))
-    sketches = [np.frombuffer(sketches[i], dtype=np.uint8) for i in order]
-    wide = np.array([len(x) for x in sketches])
-    place, of_width = np.zeros(len(cls), dtype=np.int64), {}
-    for w in np.unique(wide[wide > 0]).tolist():
-        own = np.flatnonzero(wide == w)
-        place[own], of_width[w] = np.arange(len(own)), np.stack([sketches[i] for i in own])
+def _pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, similarity: float, across: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For classes in order of size: each, and which of those behind it may be similar by sizes and places. Reads ``root`` anew for each."""
     ends = np.searchsorted(n, n / similarity + _TINY, side="right")
-    for i in range(len(cls) - 1):
+    for i in range(len(n) - 1):
         j = np.arange(i + 1, ends[i])
         need = similarity / (1 + similarity) * (n[i] + n[j]) - _TINY
         j = j[(root[j] != root[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & ((block[j] != block[i]) | (not across))]
+        if len(j):
+            yield i, j
+
+
+def _possible(n: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, sketches: list[np.ndarray], similarity: float, across: bool) -> np.ndarray:
+    """Which of a shingle's classes, in order of size, have another within the bound."""
+    wide = np.array([len(x) for x in sketches])
+    place, of_width = np.zeros(len(n), dtype=np.int64), {}
+    for w in np.unique(wide[wide > 0]).tolist():
+        own = np.flatnonzero(wide == w)
+        place[own], of_width[w] = np.arange(len(own)), np.stack([sketches[i] for i in own])
+    found = np.zeros(len(n), dtype=bool)
+    for i, j in _pairs(n, at, root, block, similarity, across):
         for w in np.unique(wide[j]).tolist():
             these = j[wide[j] == w]
             if w and wide[i]:
@@ -303,22 +304,39 @@ def _lot(cls: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, block
                 elif w < len(own):
                     own = own.reshape(-1, w).sum(0, dtype=np.int64)
                 these = these[np.minimum(most, own).sum(1, dtype=np.int64) >= similarity / (1 + similarity) * (n[i] + n[these]) - _TINY]
-            yield from ((min(int(cls[i]), x), max(int(cls[i]), x)) for x in cls[these].tolist())
-
-
-def _crowded(left: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """left: h, cls, n, at, root, many. The pairs (a, b) at each shingle that may be similar, a block of its classes against a block at a time."""
+            found[these] = True
+            found[i] |= len(these) > 0
+    return found
+
+
+def _linked(n: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, sets: list[np.ndarray], similarity: float, across: bool) -> Iterator[tuple[int, int]]:
+    """Links that connect the similar ones of a shingle's classes, in order of size, whose components differ: fewer than classes."""
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    root = root.copy()
+    mark = np.zeros(len(names), dtype=bool)
+    for i, j in _pairs(n, at, root, block, similarity, across):
+        own = names[begin[i] : begin[i + 1]]
+        mark[own] = True
+        first, last = j[0], j[-1] + 1
+        shared = np.add.reduceat(mark[names[begin[first] : begin[last]]], begin[first:last] - begin[first], dtype=np.int64)[j - first]
+        mark[own] = False
+        for k in j[shared * (1 + similarity) >= similarity * (n[i] + n[j]) - _TINY].tolist():
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                yield i, k
+
+
+def _in_lots(dealt: DataFrame, column: str, work, schema: str) -> DataFrame:
+    """work(classes in order of size, values of ``column``, whether only pairs across blocks count) for all rows of each h, low and high."""
+
+    def done(parts: list[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+        lot = pa.Table.from_batches(parts).sort_by([("n", "ascending"), ("cls", "ascending")])
+        values = [np.frombuffer(x.as_buffer(), dtype=np.uint8) if column == "sketch" else x.values.to_numpy() for x in lot.column(column)]
+        yield from work(lot.drop_columns([column]), values, across)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, parts = None, []
-
-        def pairs() -> pa.RecordBatch:
-            lot = pa.Table.from_batches(parts)
-            cls, n, at, root, block = (lot.column(c).to_numpy() for c in ("cls", "n", "at", "root", "block"))
-            found = list(_lot(cls, n.astype(np.int64), at.astype(np.int64), root, block, lot.column("sketch").to_pylist(), similarity, group[1] != group[2]))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
         for b in batches:
             keys = [b.column(c).to_numpy() for c in ("h", "low", "high")]
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
@@ -327,19 +345,38 @@ def _crowded(left: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
                     continue
                 key = tuple(int(k[at]) for k in keys)
                 if key != group and parts:
-                    yield pairs()
+                    yield from done(parts, group[1] != group[2])
                     parts = []
                 group = key
                 parts.append(b.slice(at, to - at))
         if parts:
-            yield pairs()
+            yield from done(parts, group[1] != group[2])
+
+    ordered = dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+    return in_batches(ordered.select("h", "low", "high", "cls", "n", "at", "root", "block", column), run, schema)
+
+
+def _crowded(left: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """left: h, cls, n, at, root, many, hashes. Links (a, b) that connect all similar classes at each shingle, a block of its classes against a block at a time."""
+
+    def arrays(lot: pa.Table) -> list[np.ndarray]:
+        return [lot.column(c).to_numpy().astype(np.int64) for c in ("n", "at", "root", "block")]
+
+    def possible(lot: pa.Table, sketches: list[np.ndarray], across: bool) -> Iterator[pa.RecordBatch]:
+        yield from lot.filter(pa.array(_possible(*arrays(lot), sketches, similarity, across))).to_batches()
+
+    def linked(lot: pa.Table, sets: list[np.ndarray], across: bool) -> Iterator[pa.RecordBatch]:
+        cls = lot.column("cls").to_numpy()
+        found = cls[np.array(list(_linked(*arrays(lot), sets, similarity, across)), dtype=np.int64).reshape(-1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(found.min(1, initial=np.iinfo(np.int64).max)), pa.array(found.max(1, initial=np.iinfo(np.int64).min))], ["a", "b"])
 
     sketches = rows.join(left.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.max("sketch").alias("sketch"))
-    blocks = F.ceil(F.col("many") / LOT).cast("int")
+    blocks = F.ceil(F.greatest(F.col("many") / LOT, F.col("hashes") / HASHES)).cast("int")
     dealt = left.join(sketches, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
-    ordered = dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").select("h", "low", "high", "cls", "n", "at", "root", "block", "sketch")
-    return in_batches(ordered, run, "a long, b long")
+    some = table(_in_lots(dealt, "sketch", possible, "h long, low int, high int, cls long, n int, at int, root long, block int"))
+    sets = _sets(some.select("cls").distinct(), rows, docs, text_col, shingle)
+    return _in_lots(some.join(sets, "cls"), "v", linked, "a long, b long")
 
 
 def _rooted(places: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:

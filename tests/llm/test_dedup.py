@@ -246,3 +246,24 @@ def test_the_threshold_is_exact(spark):
     far = all((fingerprint(rows[2 * i][1], 5) ^ fingerprint(rows[2 * i + 1][1], 5)).bit_count() > 2 for i in range(60))
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
     assert far and all(found[2 * i + 1] == 2 * i + i % 2 for i in range(60))
+
+
+def test_crowds_of_dissimilar_texts_make_no_rows_for_their_pairs(spark, monkeypatch):
+    """Texts within the sketches' bound, but hardly ever similar: the pairs that are made don't grow with the square of the group."""
+    r, made, verified = random.Random(3), [], simhash._verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in range(10, 190, 18):
+            words[at] = f"at{at}v{r.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    want = components_of(rows, 5, 0.8)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
+    assert got == want and sum(made) < 8 * len(rows) and 5 < len(set(want.values()))
