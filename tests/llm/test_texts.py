@@ -320,6 +320,30 @@ def test_network_adds_other_kinds(spark):
     assert recall >= 0.9 and wrong <= 0.05, (recall, wrong)
 
 
+def test_every_piece_counts(spark, monkeypatch):
+    """Copies crowd no other piece out of what is learned, however it is dealt to tasks."""
+    r = random.Random(5)
+    key = lambda: "".join(r.choice("ABCDEFGHJKMNPQRSTVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(32))
+    word = lambda: "".join(r.choice(["tion", "er", "an", "the", "in", "on", "re"]) for _ in range(7))
+    prose = lambda: " ".join(word()[: r.randrange(2, 9)] for _ in range(12))
+    rows = [(i, f"{prose()} token = {key()} {prose()}") for i in range(400)]
+    other = lambda: r.choice([word() + word(), f"www.{word()}.com/{word()}", f"{r.randrange(10**19, 10**20)}", f"build-{key()[:12]}.jar"])
+    rows += [(1000 + i, f"{prose()} {other()} {prose()}") for i in range(600)]
+    pieces = secrets.different_pieces(secrets.scan(frame(spark, rows, "doc_id long, text string"), "doc_id", "text"))
+    first = pieces.filter("not label").orderBy("mark").first()["t"]
+    rows += [(9000 + i, next(t for _, t in rows if first in t)) for i in range(1600)]
+    docs = frame(spark, rows, "doc_id long, text string")
+    expected = Counter((p["t"], p["a"], p["b"], c["label"]) for _, t in rows for c in secrets.candidates(t, secrets.base_findings(t)) for p in c["pieces"])
+    learned, held, counts = secrets.split(secrets.different_pieces(secrets.scan(docs, "doc_id", "text")))
+    parts = [{(x["t"], x["a"], x["b"], x["label"]): x["n"] for x in d.collect()} for d in (learned, held)]
+    assert parts[0] | parts[1] == expected and not parts[0].keys() & parts[1].keys()
+    assert counts == [sum(k[3] == label for k in parts[0]) for label in (True, False)] and len(parts[1]) == pytest.approx(len(expected) / 5, rel=0.2)
+    for chunk in (secrets.CHUNK, 300):
+        monkeypatch.setattr(secrets, "CHUNK", chunk)
+        found = {x["doc_id"]: x for x in secrets.find_secrets(docs).collect()}
+        assert np.mean([found[1000 + i]["n_model"] for i in range(600)]) <= 0.05 and sum(found[i]["n_assign"] for i in range(400)) == 400
+
+
 def test_secrets_query(spark, sf):
     rows = [(1, None), (2, ""), (3, "x" * 100000), (None, "token=abcdef"), (5, "token=abcdef"), (5, "token=abcdef")]
     got = {r["doc_id"]: r["n_assign"] for r in secrets.find_secrets(frame(spark, rows, "doc_id long, text string")).collect()}
