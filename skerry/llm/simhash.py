@@ -260,7 +260,7 @@ def _joined(links: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, s
     places = rows.select("cls", "n", F.posexplode("prefix").alias("at", "h"))
     of = lambda f: f(F.struct("cls", "n", "at")).over(order)
     marked = places.withColumns({"l": of(F.lag), "f": of(F.first), "more": F.lead("cls").over(order)})
-    shared = kept(marked.filter("l is not null or more is not null").select("h", "cls", "n", "at", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lf" for c in ("cls", "n", "at"))))
+    shared = table(marked.filter("l is not null or more is not null").select("h", "cls", "n", "at", *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "lf" for c in ("cls", "n", "at"))))
     near = [shared.filter((F.col(f"{x}cls") != F.col("cls")) & _fits(similarity, "", x)).select(F.least("cls", f"{x}cls").alias("a"), F.greatest("cls", f"{x}cls").alias("b")) for x in "lf"]
     first = table(near[0].unionByName(near[1]).distinct())
     links = table(links.unionByName(_verified(first, rows, docs, text_col, shingle, similarity)).distinct(), n_rows)
@@ -387,7 +387,7 @@ def _rooted(places: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:
 
 def _open(shared: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:
     """h, cls, n, at, root: the classes at each shingle where several components meet."""
-    of_class = kept(_rooted(shared.select("h", "cls", "n", "at"), links, n_rows))
+    of_class = table(_rooted(shared.select("h", "cls", "n", "at"), links, n_rows))
     meeting = of_class.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h")
     return table(of_class.join(meeting, "h", "left_semi").distinct())
 

@@ -43,3 +43,12 @@ def test_tables_are_shared_and_cleared(spark):
     assert kept.count() == 3 and path in kept.inputFiles()[0].replace("file:///", "file:///")
     _shared.clear(spark)
     assert bpe.KEPT > 0
+
+
+def test_near_copies_pin_no_shuffle(spark, sf):
+    """What ``kept`` holds keeps the shuffle files under it on disk as long, so the near-copy stage holds nothing that was shuffled."""
+    _shared.clear(spark)
+    simhash.keep_one(spark.read.parquet(f"{sf}/documents.parquet")).count()
+    plans = [k._jdf.queryExecution().executedPlan().toString() for k in _shared._kept]
+    _shared.clear(spark)
+    assert plans and not [p for p in plans if "Exchange" in p]
