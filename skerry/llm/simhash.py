@@ -22,7 +22,8 @@ places rule them out. At a shingle of more than ``CROWD`` classes no pair is mad
 about ``LOT`` classes and ``HASHES`` hashes, and two blocks meet twice: with the sketches of their classes, after which
 those that have a pair within the bound stay, and with the whole sets of these, where similar
 ones are joined as they are found and only the links that connected something
-leave the task, fewer than its classes. What is then still open at other shingles is paired by a join.
+leave the task, fewer than its classes. A class is at many shingles, so its set is copied often: the shingles take turns if more
+would be on disk at once than the sets of all rows (``ROUND``). What is then still open at other shingles is paired by a join.
 A pair is always first held against a bound: each set's hashes are counted by their last bits (a byte for
 two to four hashes), and the sum of the lesser counts can't be below what the sets share. What passes is verified by the
 Jaccard similarity of the whole sets (of 64-bit hashes), which are made anew for these few texts only.
@@ -37,6 +38,7 @@ ignored here and kept by ``keep_one``, which tells rows apart by id and text: ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 from itertools import repeat
 
@@ -63,6 +65,8 @@ SAMPLED, OFTEN, MOST = 5000, 3, 50_000
 BROADCAST = 200_000
 #: Classes at a shingle that are paired by a join, at most; and classes and hashes of a block beyond that, about.
 CROWD, LOT, HASHES = 16, 1024, 1 << 19
+#: Hashes of whole sets that are shuffled at once to crowded shingles, about, for each hash of all rows' sets.
+ROUND = 1
 #: Rounding of products with the similarity.
 _TINY = 1e-6
 #: The rows of bits that are summed at a time.
@@ -376,7 +380,10 @@ def _crowded(left: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, s
     dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
     some = table(_in_lots(dealt, "sketch", possible, "h long, low int, high int, cls long, n int, at int, root long, block int"))
     sets = _sets(some.select("cls").distinct(), rows, docs, text_col, shingle)
-    return _in_lots(some.join(sets, "cls"), "v", linked, "a long, b long")
+    once, sent = rows.agg(F.sum("n")).first()[0], some.agg(F.sum("n")).first()[0]
+    rounds = max(1, int(np.ceil((sent or 0) / (ROUND * (once or 1)))))
+    found = [_in_lots(some.filter(F.pmod(F.xxhash64("h"), F.lit(rounds)) == k).join(sets, "cls"), "v", linked, "a long, b long") for k in range(rounds)]
+    return found[0] if rounds == 1 else reduce(DataFrame.unionByName, map(table, found))
 
 
 def _rooted(places: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:

@@ -267,3 +267,25 @@ def test_crowds_of_dissimilar_texts_make_no_rows_for_their_pairs(spark, monkeypa
     want = components_of(rows, 5, 0.8)
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
     assert got == want and sum(made) < 8 * len(rows) and 5 < len(set(want.values()))
+
+
+def test_crowded_shingles_take_turns(spark, monkeypatch):
+    """The sets that crowded shingles need are shuffled in rounds, and the rounds miss no link."""
+    r, rounds, in_lots = random.Random(5), [], simhash._in_lots
+
+    def counted(dealt, column, *rest):
+        rounds.append(column)
+        return in_lots(dealt, column, *rest)
+
+    monkeypatch.setattr(simhash, "_in_lots", counted)
+    monkeypatch.setattr(simhash, "ROUND", 0.3)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for at in range(10, 190, 18):
+            words[at] = f"at{at}v{r.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    want = components_of(rows, 5, 0.8)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
+    assert got == want and rounds.count("v") > 1 and 5 < len(set(want.values()))
