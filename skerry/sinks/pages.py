@@ -128,6 +128,12 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", path)))
 
 
+def _sums(path: str) -> str:
+    """Where Hadoop keeps a local file's checksums; it holds whatever takes the file's place against them."""
+    directory, _, name = path.rpartition("/")
+    return f"{directory}/.{name}.crc"
+
+
 def _concatenate(target: str, sources: list[str], attempt: str) -> None:
     """All sources into <target>-packed, which is there as a whole or not at all."""
     system, path = _opened(target)
@@ -146,14 +152,20 @@ def _settle(target: str, sources: list[str], attempt: str) -> None:
 
     system, path = _opened(target)
     there = lambda p: system.get_file_info(p).type != fs.FileType.NotFound
+
+    def gone(*paths: str) -> None:
+        for p in paths:
+            if there(p):
+                system.delete_file(p)
+
+    local = isinstance(system, fs.LocalFileSystem)
     if there(f"{path}-packed"):
-        if there(path):
-            system.delete_file(path)
+        gone(*[_sums(path)] * local, path)
         system.move(f"{path}-packed", path)
     for source in sources:
         other = _opened(source)[1]
-        if other != path and there(other):
-            system.delete_file(other)
+        if other != path:
+            gone(other, *[_sums(other)] * local)
 
 
 def _in_tasks(plan: DataFrame, action: Callable[[str, list[str], str], None]) -> None:

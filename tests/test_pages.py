@@ -54,6 +54,15 @@ def test_packed_files_lose_nothing(spark, tmp_path):
     assert titles(pages.read_pages(spark, root)) == ["t0", "t1", "t2", "t3"]
 
 
+def test_packing_leaves_no_checksums_of_other_bytes(spark, tmp_path):
+    made = spark.createDataFrame([(page(record(f"id{n}", "2023-01-01", f"t{n}")),) for n in range(4)], "xml string").repartition(4)
+    sink.write_pages(made, f"file://{tmp_path}/a", "2023-01-01")
+    assert len(list(tmp_path.glob("a/.*.crc"))) == len(list(tmp_path.glob("a/*.xml.gz"))) >= 3
+    sink.pack(spark, f"file://{tmp_path}")
+    assert len(list(tmp_path.glob("a/*.xml.gz"))) == 1 and not list(tmp_path.glob("a/.*.crc"))
+    assert titles(pages.read_pages(spark, f"file://{tmp_path}")) == ["t0", "t1", "t2", "t3"]
+
+
 def marc(identifier, inner):
     return f"<record><header><identifier>{identifier}</identifier><datestamp>2023-01-01</datestamp></header><metadata>{inner}</metadata></record>"
 
