@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.protocol import directory_parts, page_date
-from ..schemas import RECORD
+from ..schemas import DC, RECORD
 
 SUFFIXES = "*.xml.{gz,zst}"
 END = "</ListRecords>"
@@ -19,6 +19,9 @@ END = "</ListRecords>"
 NESTED = 4
 #: Entities that XML knows; others are kept as text.
 _UNKNOWN = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
+#: Spark's parser makes null of an element that is empty or white space, so one gets this noncharacter while it is parsed.
+_BLANK = "\ufdd0"
+_EMPTY = rf"(<(?:[\w.-]++:)?+(?:{'|'.join(DC.names)})(?:\s[^>]*+)?+(?<!/)>)(?=\s*+</)"
 
 
 def page_files(spark: SparkSession, root: str) -> DataFrame:
@@ -74,10 +77,20 @@ def raw_records(spark: SparkSession, root: str, from_: str = "") -> DataFrame:
     return found.select(F.explode(split_records(F.col("value"))).alias("xml"), "path", "name")
 
 
+def _without_marks(metadata: Column) -> Column:
+    """The parsed metadata without ``_BLANK``."""
+
+    def values(of: Column) -> list[Column]:
+        return [F.transform(of[e], lambda v: F.struct(F.replace(v["_VALUE"], F.lit(_BLANK), F.lit("")).alias("_VALUE"), v["_lang"].alias("_lang"))).alias(e) for e in DC.names]
+
+    dc = metadata["dc"]
+    return F.when(metadata.isNotNull(), F.struct(F.when(dc.isNotNull(), F.struct(*values(dc))).alias("dc"), *values(metadata)))
+
+
 def decode(raw: DataFrame, xml: str = "xml") -> DataFrame:
     """raw with header, metadata (struct), metadata_xml, about and corrupt (what can't be parsed)."""
     options = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
-    parsed = F.from_xml(F.regexp_replace(xml, _UNKNOWN, "&amp;"), RECORD, options)
+    parsed = F.from_xml(F.regexp_replace(F.regexp_replace(xml, _UNKNOWN, "&amp;"), _EMPTY, f"$1{_BLANK}"), RECORD, options)
     # The generator keeps filters above it: pushed below, each would parse the record again.
     found = raw.select("*", F.explode_outer(F.array(parsed)).alias("_record"))
     inner = F.regexp_extract(xml, r"(?s)<metadata[^>]*>(.*)</metadata>", 1)
@@ -85,7 +98,7 @@ def decode(raw: DataFrame, xml: str = "xml") -> DataFrame:
     return found.select(
         *raw.columns,
         F.col("_record.header").alias("header"),
-        F.col("_record.metadata").alias("metadata"),
+        _without_marks(F.col("_record.metadata")).alias("metadata"),
         F.when(inner != "", inner).alias("metadata_xml"),
         F.when(about != "", about).alias("about"),
         (F.col("_record.header.identifier").isNull() & F.col("_record.metadata").isNull()).alias("corrupt"),

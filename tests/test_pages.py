@@ -63,6 +63,24 @@ def test_packing_leaves_no_checksums_of_other_bytes(spark, tmp_path):
     assert titles(pages.read_pages(spark, f"file://{tmp_path}")) == ["t0", "t1", "t2", "t3"]
 
 
+def test_blank_values_are_not_null(spark):
+    values = {"a": "", "b": " ", "c": "\n\n", "d": "\ta\n", "e": None}
+    rows = spark.createDataFrame([(k, v) for k, v in values.items()], "id string, v string")
+    dc = {"title": F.array("v"), "description": F.array("v", F.lit("x"), F.lit(""))}
+    xml = sink.record_xml(F.col("id"), F.lit("2023-01-01"), F.array(), dc, F.when(F.col("id") == "b", "deleted"))
+    bare = F.concat(F.lit('<record><header><identifier>bare</identifier></header><metadata><title lang="en"> </title><subject/></metadata></record>'))
+    found = pages.decode(rows.select(xml.alias("xml")).unionByName(spark.range(1).select(bare.alias("xml"))))
+    got = {r[0]: r[1:] for r in found.select("header.identifier", records.element("title"), records.element("description"), "metadata.title._lang").collect()}
+    assert got == {
+        "a": ([""], ["", "x", ""], None),
+        "b": (None, None, None),
+        "c": (["\n\n"], ["\n\n", "x", ""], None),
+        "d": (["a\n"], ["a\n", "x", ""], None),
+        "e": (None, ["x", ""], None),
+        "bare": ([" "], None, ["en"]),
+    }
+
+
 def marc(identifier, inner):
     return f"<record><header><identifier>{identifier}</identifier><datestamp>2023-01-01</datestamp></header><metadata>{inner}</metadata></record>"
 
