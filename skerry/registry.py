@@ -254,14 +254,24 @@ def k11_statistics(spark, sf_dir):
 
 @query("K12_recompress", f"WITH {_R} SELECT oai FROM r")
 def k12(spark, sf_dir):
+    import pyarrow as pa
     import zstandard
 
-    @F.udf("string")  # reads the zstd bytes back, only in this query
-    def plain(body):
-        return zstandard.ZstdDecompressor().decompressobj().decompress(bytes(body)).decode() if body else ""
+    end = pages.END.encode()
+
+    def plain(batches):  # reads the zstd bytes back, a response at a time, only in this query
+        for b in batches:
+            for body in b.column(0):
+                rest = b""
+                with zstandard.ZstdDecompressor().stream_reader(body.as_buffer(), read_across_frames=True) as source:
+                    while part := source.read(1 << 20):
+                        *found, rest = (rest + part).split(end)
+                        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string())], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([rest.decode()])], ["value"])
 
     bodies = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml.gz").load(cached(spark, sf_dir)).select("path", "content")
-    again = sink.recompress(bodies).select(F.explode(pages.split_records(plain("content"))).alias("xml"))
+    texts = sink.one_by_one(sink.recompress(bodies).select("content"), plain, "value string")
+    again = texts.select(F.explode(pages.split_records(F.col("value"))).alias("xml"))
     return again.select(F.regexp_extract("xml", "<identifier>([^<]*)</identifier>", 1).alias("oai"))
 
 

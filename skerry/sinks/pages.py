@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -208,23 +209,45 @@ def pack(spark: SparkSession, root: str, least: int = 3, dry_run: bool = False)
     return spark.read.parquet(f"{kept}/stats")
 
 
-def recompress(contents: DataFrame, least: int = 20) -> DataFrame:
-    """path, content of .xml.gz files -> path, content as zstd; what is too short or no gzip becomes empty."""
+#: Bytes that a Python worker is sent at once, about; a larger file comes alone.
+BATCH_BYTES = 8 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
 
-        import zstandard
+def one_by_one(files: DataFrame, run, schema: str) -> DataFrame:
+    """``files.mapInArrow`` in batches bounded by bytes, as a number of rows bounds nothing where a row is a file. The bound is set in the session, if it has none."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if files.sparkSession.conf.get(bound, None) is None:
+        files.sparkSession.conf.set(bound, str(BATCH_BYTES))
+    return files.mapInArrow(run, schema)
+
+
+def _as_zstd(body: pa.Buffer) -> bytes:
+    """gzip to zstd a part at a time, in two passes: the frame's header has the size."""
+    import gzip
+
+    import zstandard
+
+    def parts() -> Iterator[bytes]:
+        with gzip.open(pa.BufferReader(body)) as plain:
+            while part := plain.read(1 << 20):
+                yield part
 
+    size = sum(map(len, parts()))
+    to = zstandard.ZstdCompressor().compressobj(size=size)
+    return b"".join([*map(to.compress, parts()), to.flush()]) if size else b""
+
+
+def recompress(contents: DataFrame, least: int = 20) -> DataFrame:
+    """path, content of .xml.gz files -> path, content as zstd; what is too short or no gzip becomes empty. A worker holds a file's bytes, never its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for body in b.column(1).to_pylist():
-                try:
-                    plain = gzip.decompress(body) if len(body) >= least and body[:2] == b"\x1f\x8b" else b""
-                except (OSError, EOFError):
-                    plain = b""
-                out.append(zstandard.compress(plain) if plain else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                body, made = content.as_buffer(), b""
+                if body is not None and len(body) >= least and body[:2].to_pybytes() == b"\x1f\x8b":
+                    with suppress(OSError, EOFError):
+                        made = _as_zstd(body)
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([made], pa.binary())], ["path", "content"])
 
     renamed = contents.select(F.regexp_replace("path", r"\.gz$", ".zst").alias("path"), "content")
-    return renamed.mapInArrow(run, "path string, content binary")
+    return one_by_one(renamed, run, "path string, content binary")

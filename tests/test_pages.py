@@ -160,6 +160,31 @@ def test_recompress(spark):
     assert zstandard.decompress(got["x.xml.zst"]) == body and got["y.xml.zst"] == got["z.xml.zst"] == b""
 
 
+def test_recompress_holds_no_whole_text():
+    import resource
+
+    import pyarrow as pa
+
+    members = [gzip.compress(b"<record>one</record>"), gzip.compress(bytes(400 << 20))]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    made = sink._as_zstd(pa.py_buffer(b"".join(members)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100 << 10
+    assert zstandard.get_frame_parameters(made).content_size == 20 + (400 << 20)
+    assert zstandard.ZstdDecompressor().stream_reader(made).read(30) == b"<record>one</record>" + bytes(10)
+
+
+def test_recompress_sends_workers_few_files_at_once(spark):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    files = spark.range(0, 12, 1, 1).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("x"), F.lit(3 << 20)).cast("binary").alias("content"))
+    got = [r[0] for r in sink.one_by_one(files, run, "n long").collect()]
+    assert sum(got) == 12 and max(got) <= 4
+
+
 def test_ingest(spark):
     schema = "oai string, urls array<string>, formats array<string>, doi array<string>, types array<string>"
     rows = [
