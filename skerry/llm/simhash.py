@@ -383,7 +383,7 @@ def _crowded(left: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, s
     once, sent = rows.agg(F.sum("n")).first()[0], some.agg(F.sum("n")).first()[0]
     rounds = max(1, int(np.ceil((sent or 0) / (ROUND * (once or 1)))))
     found = [_in_lots(some.filter(F.pmod(F.xxhash64("h"), F.lit(rounds)) == k).join(sets, "cls"), "v", linked, "a long, b long") for k in range(rounds)]
-    return found[0] if rounds == 1 else reduce(DataFrame.unionByName, map(table, found))
+    return found[0] if rounds == 1 else reduce(DataFrame.unionByName, (table(x.distinct()) for x in found))  # few links, in few files
 
 
 def _rooted(places: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:

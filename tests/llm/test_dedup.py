@@ -289,3 +289,24 @@ def test_crowded_shingles_take_turns(spark, monkeypatch):
     want = components_of(rows, 5, 0.8)
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_dedup(frame(spark, rows), similarity=0.8).collect()}
     assert got == want and rounds.count("v") > 1 and 5 < len(set(want.values()))
+
+
+def test_links_of_rounds_are_few_files(spark, monkeypatch):
+    """What a round's many tasks find is written as few files; equal links are written once."""
+    r, rounds, in_lots = random.Random(9), [], simhash._in_lots
+
+    def many_tasks(dealt, column, *rest):
+        rounds.append(column)
+        found = in_lots(dealt, column, *rest)
+        return found.repartition(8) if column == "v" else found
+
+    monkeypatch.setattr(simhash, "ROUND", 3)
+    monkeypatch.setattr(simhash, "_in_lots", many_tasks)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    docs = frame(spark, [(i, " ".join([*base[:195], f"end{i}"])) for i in range(40)])
+    rows = simhash.table(simhash._classed(docs, "doc_id", "text", 5, 0.8, 40))
+    left = rows.select("cls", "n", F.posexplode("prefix").alias("at", "h"), F.col("cls").alias("root"))
+    sizes = left.groupBy("h").agg(F.count("*").alias("many"), F.sum("n").alias("hashes")).filter("many > 1")
+    found = simhash._crowded(left.join(sizes, "h"), rows, docs, "text", 5, 0.8)
+    n = rounds.count("v")
+    assert n > 1 and 0 < len(found.inputFiles()) <= n and found.distinct().count() >= 39
